@@ -28,6 +28,7 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def over(score: str | Column, threshold: float) -> Column:
+def over(score: str | Column, threshold: float | Column) -> Column:
     """1 where the score is strictly above the threshold."""
-    return flag(nan_to_null(score) > F.lit(float(threshold)))
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return flag(nan_to_null(score) > limit)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .joins import lookup_join
 from .ranking import first_rows
 
@@ -41,7 +42,7 @@ def find_each(
 def match_merchant(picks: DataFrame, merchants: DataFrame, order_by: str = "street") -> DataFrame:
     """Each (merchant, street) pick with the first merchant record of that name and street."""
     key = ["merchant", "street"]
-    return lookup_join(picks, first_rows(merchants, key, [order_by]), key)
+    return lookup_join(picks, stage(first_rows(merchants, key, [order_by]), "merchants"), key)
 
 
 def merchant_streets(merchants: DataFrame) -> DataFrame:

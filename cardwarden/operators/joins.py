@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +35,27 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that alone hold more than an even share of a shuffle partition.
+    """Keys that alone hold more than an even share of a shuffle partition, from one pass.
 
-    With P shuffle partitions at most P keys can, so the list is short whatever the data.
+    With P shuffle partitions fewer than P keys can, so all of them are among the P largest.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.count()
-    rows = (
-        df.groupBy(*keys)
+    seen = Observation()
+    largest = (
+        df.select(*keys)
+        .observe(seen, F.count(F.lit(1)).alias("rows"))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") * parts > total)
-        .drop("_rows")
-        .dropna()
+        .orderBy(F.desc("_rows"))
+        .limit(parts)
+        .collect()
     )
-    return spark.createDataFrame(rows.limit(parts).collect(), rows.schema)
+    total = seen.get["rows"]
+    hot = [
+        row[:-1] for row in largest if row["_rows"] * parts > total and None not in row[:-1]
+    ]
+    return spark.createDataFrame(hot, df.select(*keys).schema)
 
 
 def lookup_join(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import over
@@ -97,7 +97,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def auc_thresholded(
-    df: DataFrame, label: str, score: str, threshold: float, by: tuple[str, ...] = ()
+    df: DataFrame, label: str, score: str, threshold: float | Column, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """ROC AUC of 0/1 predictions, which is the mean of both classes' recall; optionally per group."""
     hit = over(score, threshold) == F.col(label)

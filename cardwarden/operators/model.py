@@ -26,6 +26,12 @@ def split_bucket(key: str | Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint") % 100
 
 
+def split_side(df: DataFrame, key: str, train_percent: int = TRAIN_PERCENT) -> DataFrame:
+    """Each row marked as ``train`` or ``test``, in one pass."""
+    side = F.when(split_bucket(key) < train_percent, "train").otherwise("test")
+    return df.withColumn("side", side)
+
+
 def split(
     df: DataFrame, key: str, train_percent: int = TRAIN_PERCENT
 ) -> tuple[DataFrame, DataFrame]:

@@ -63,8 +63,8 @@ def verdict_within(
         F.lit(None).cast("string").alias("txn_status"),
     )
     answered = (
-        status.groupBy("txn_num", "status_ts")
-        .agg(F.min("txn_status").alias("txn_status"))
+        status.select("txn_num", "status_ts", "txn_status")
+        .distinct()
         .where(F.col("txn_num").isNotNull() & F.col("status_ts").isNotNull())
         .select(
             F.col("txn_num").alias("_key"),
@@ -78,7 +78,7 @@ def verdict_within(
     )
     passed = (
         Window.partitionBy("_key", "_slot")
-        .orderBy(F.desc("_at"), "_kind")
+        .orderBy(F.desc("_at"), "_kind", F.desc("txn_status"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = F.when(F.col("_kind") == 0, F.struct("status_ts", "txn_status"))

@@ -346,10 +346,7 @@ def _scored(spark, sf_dir):
 @query
 def train_test_split(spark, sf_dir):
     raw = inputs.raw_txn(spark, sf_dir).select("trans_num")
-    train_rows, test_rows = model.split(raw, "trans_num")
-    return train_rows.withColumn("side", F.lit("train")).unionByName(
-        test_rows.withColumn("side", F.lit("test"))
-    )
+    return model.split_side(raw, "trans_num")
 
 
 @query
@@ -388,25 +385,24 @@ def classification_report_050(spark, sf_dir):
 
 def _daily_runs(spark, sf_dir):
     """One evaluation run per day of transactions and threshold."""
-    scored = (
-        inputs.card_events(spark, sf_dir)
-        .select(
-            F.to_date("ts").alias("day"),
-            (F.col("value") / F.lit(500.0)).alias("score"),
-            F.expr("cast(event_type = 'error' and value > 100 as int)").alias("is_fraud"),
-        )
+    candidates = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(threshold).alias("threshold"))
+        for name, threshold in (("strict", 0.3), ("loose", 0.2))
+    ])
+    scored = inputs.card_events(spark, sf_dir).select(
+        F.to_date("ts").alias("day"),
+        (F.col("value") / F.lit(500.0)).alias("score"),
+        F.expr("cast(event_type = 'error' and value > 100 as int)").alias("is_fraud"),
+        F.inline(candidates),
+    )
+    rates = metrics.auc_thresholded(scored, "is_fraud", "score", F.col("threshold"), ("name", "day"))
+    return rates.select(
+        F.concat_ws("-", "name", F.col("day").cast("string")).alias("run_id"),
+        "name",
+        F.col("day").cast("timestamp_ntz").alias("start_time"),
+        F.lit(model.TREES).alias("n_estimators"),
+        F.round("auc", 6).alias("auc"),
     )
-    rates = [
-        metrics.auc_thresholded(scored, "is_fraud", "score", t, ("day",)).select(
-            F.concat(F.lit(f"{name}-"), F.col("day").cast("string")).alias("run_id"),
-            F.lit(name).alias("name"),
-            F.col("day").cast("timestamp_ntz").alias("start_time"),
-            F.lit(model.TREES).alias("n_estimators"),
-            F.round("auc", 6).alias("auc"),
-        )
-        for name, t in (("strict", 0.3), ("loose", 0.2))
-    ]
-    return rates[0].unionByName(rates[1])
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ TRAIN_PERCENT = 80
 SEED = 42
 TREES = 100
 
+#: Stands for a missing feature: NULL, NaN and infinities go below every real value, so that the
+#: trees can tell them apart.
+MISSING = "1e30D"
+
 
 def split_bucket(key: str | Column) -> Column:
     """0..99 from the key's MD5, so a row's side never depends on partitioning or other rows."""
@@ -52,17 +56,20 @@ def train(
     The training rows stay distributed. MLlib cuts the growing lineage of the boosting rounds by
     checkpoints in the session's ``spark.checkpoint.dir``.
     """
-    # A missing feature stays NaN, which compares false and so takes the right branch of a split.
-    assembler = VectorAssembler(
-        inputCols=list(features), outputCol="features", handleInvalid="keep"
+    present = ", ".join(
+        f"CASE WHEN `{c}` BETWEEN -{MISSING} AND {MISSING} THEN CAST(`{c}` AS DOUBLE)"
+        f" ELSE -{MISSING} END AS `_in_{c}`"
+        for c in features
     )
+    fill = SQLTransformer(statement=f"SELECT *, {present} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol="features")
     trees_stage = GBTClassifier(
         featuresCol="features", labelCol="_label", maxIter=trees, seed=SEED, **params
     )
     labelled = df.where(F.col(label).isNotNull()).select(
         *features, F.col(label).cast("double").alias("_label")
     )
-    return Pipeline(stages=[assembler, trees_stage]).fit(labelled)
+    return Pipeline(stages=[fill, assembler, trees_stage]).fit(labelled)
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "score") -> DataFrame:

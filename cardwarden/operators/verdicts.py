@@ -12,6 +12,10 @@ DEADLINE_SECONDS = 60
 TIMEOUT_STATUS = "Failed"
 TIMEOUT_REASON = "timeout"
 
+#: Length of a time slot in deadlines: longer slots repeat fewer verdicts, shorter ones split a
+#: repeated number further.
+SLOT_DEADLINES = 10
+
 
 def verdict(df: DataFrame, key: str = "trans_num", prediction: str = "prediction") -> DataFrame:
     """One status row per scored transaction."""
@@ -21,11 +25,26 @@ def verdict(df: DataFrame, key: str = "trans_num", prediction: str = "prediction
     )
 
 
-def deadline_slot(ts: str | Column, seconds: int) -> Column:
-    """Number of the deadline-long time slot a moment falls in."""
-    micros = F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
-    length = F.lit(seconds * 1_000_000)
-    return ((micros - F.pmod(micros, length)) / length).cast("bigint")
+def asked_slot(ts: str, seconds: int) -> Column:
+    """Number of the time slot, ten deadlines long, a transaction falls in."""
+    length = seconds * SLOT_DEADLINES
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return _slot(micros, length)
+
+
+def answered_slots(ts: str, seconds: int) -> Column:
+    """The slots of all transactions a verdict may answer: its own, and the one a deadline earlier
+    where that differs, which it does for one verdict in ten."""
+    length = seconds * SLOT_DEADLINES
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.array_distinct(
+        F.array(_slot(micros, length), _slot(micros - F.lit(seconds * 1_000_000), length))
+    )
+
+
+def _slot(micros: Column, length: int) -> Column:
+    step = F.lit(length * 1_000_000)
+    return ((micros - F.pmod(micros, step)) / step).cast("bigint")
 
 
 def timeout_reply(in_time: Column) -> list[Column]:
@@ -42,20 +61,51 @@ def verdict_within(
     seconds: int = DEADLINE_SECONDS,
     key: str = "trans_num",
     ts: str = "ts",
+    keyed: bool = False,
 ) -> DataFrame:
     """Each transaction with its first verdict at or after its time and within the deadline.
 
-    A look-ahead over one shuffle instead of a range join. Both tables are laid out by key and
-    deadline-long slot, a verdict also in the slot before its own, where the transactions it may
-    still answer can lie. Going back in time, a transaction's verdict is the last one passed. The
-    work is linear even where a number is repeated on both sides, and a number repeated over time
-    spreads over its slots.
+    ``keyed`` says that ``status`` holds one verdict per number, as the table an upsert keeps does;
+    then a left join answers. Otherwise numbers may repeat on both sides, where a join would pair
+    every transaction with every verdict of its number, and a look-ahead is used.
     """
-    slot = deadline_slot("status_ts", seconds)
+    if keyed:
+        return _join_keyed(txn, status, seconds, key, ts)
     known = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    asked = txn.where(known).select(
+    unknown = txn.where(~known).withColumns({
+        "status_ts": F.lit(None).cast("timestamp"),
+        "txn_status": F.lit(None).cast("string"),
+        "status": F.lit(TIMEOUT_STATUS),
+        "reason": F.lit(TIMEOUT_REASON),
+    })
+    return _look_ahead(txn.where(known), status, seconds, key, ts).unionByName(unknown)
+
+
+def _join_keyed(txn, status, seconds, key, ts):
+    verdicts = status.select(
+        F.col("txn_num").alias("_txn_num"),
+        F.col("status_ts").cast("timestamp").alias("status_ts"),
+        "txn_status",
+    )
+    asked_at = F.col(ts).cast("timestamp")
+    in_time = F.col("status_ts").between(asked_at, asked_at + F.expr(f"interval {seconds} seconds"))
+    joined = txn.join(verdicts, (F.col(key) == F.col("_txn_num")) & in_time, "left")
+    return joined.select(
+        *txn.columns, "status_ts", "txn_status", *timeout_reply(F.col("_txn_num").isNotNull())
+    )
+
+
+def _look_ahead(txn, status, seconds, key, ts):
+    """The next verdict in time, by one shuffle and a running window.
+
+    Both tables are laid out by key and time slot, a verdict also in the slot before its own where
+    it may still answer transactions of that. Going back in time, a transaction's verdict is the
+    last one passed. The work is linear even where a number is repeated on both sides, and a number
+    repeated over time spreads over its slots.
+    """
+    asked = txn.select(
         F.col(key).alias("_key"),
-        deadline_slot(ts, seconds).alias("_slot"),
+        asked_slot(ts, seconds).alias("_slot"),
         F.col(ts).cast("timestamp").alias("_at"),
         F.lit(1).alias("_kind"),
         F.struct(*txn.columns).alias("_txn"),
@@ -63,12 +113,13 @@ def verdict_within(
         F.lit(None).cast("string").alias("txn_status"),
     )
     answered = (
+        # Copies of a verdict merge before they travel.
         status.select("txn_num", "status_ts", "txn_status")
         .distinct()
         .where(F.col("txn_num").isNotNull() & F.col("status_ts").isNotNull())
         .select(
             F.col("txn_num").alias("_key"),
-            F.explode(F.array(slot, slot - 1)).alias("_slot"),
+            F.explode(answered_slots("status_ts", seconds)).alias("_slot"),
             F.col("status_ts").cast("timestamp").alias("_at"),
             F.lit(0).alias("_kind"),
             F.lit(None).cast(asked.schema["_txn"].dataType).alias("_txn"),
@@ -91,16 +142,9 @@ def verdict_within(
         F.col("_next.status_ts") <= F.col("_at") + F.expr(f"interval {seconds} seconds"),
         F.lit(False),
     )
-    resolved = looked.select(
+    return looked.select(
         *[F.col(f"_txn.`{c}`").alias(c) for c in txn.columns],
         F.when(in_time, F.col("_next.status_ts")).alias("status_ts"),
         F.when(in_time, F.col("_next.txn_status")).alias("txn_status"),
         *timeout_reply(in_time),
     )
-    unknown = txn.where(~known).withColumns({
-        "status_ts": F.lit(None).cast("timestamp"),
-        "txn_status": F.lit(None).cast("string"),
-        "status": F.lit(TIMEOUT_STATUS),
-        "reason": F.lit(TIMEOUT_REASON),
-    })
-    return resolved.unionByName(unknown)

@@ -75,7 +75,7 @@ def account_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = (
         table(spark, sf_dir, "events")
         .groupBy(F.col("user_id").alias("c_custkey"))
-        .agg(F.round(F.sum(F.col("value").cast("decimal(18,2)")) / 30, 2).cast("double").alias("avgv"))
+        .agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / 30).alias("avgv"))
     )
     rules = (
         table(spark, sf_dir, "customer")

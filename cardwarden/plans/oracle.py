@@ -47,7 +47,7 @@ RULES = f"""rules as (
   select c_custkey cc_num, c_acctbal ACCT_AVL_CASH_BEFORE_AMT,
          cast(50.0 * (c_custkey % 10) as double) ACCT_CL_AMT, avgv AVG_DLY_AUTHZN_AMT
   from customer left join (
-    select user_id, cast(round(sum(cast(value as decimal(18, 2))) / 30, 2) as double) avgv
+    select user_id, cast(sum(cast(value as decimal(18, 2))) as double) / 30 avgv
     from events group by user_id) on user_id = c_custkey
   where c_custkey % 7 <> 0)"""
 
@@ -180,6 +180,8 @@ ORACLE = {
     "account_names": f"""with {ACCOUNTS} select cc_num, "first" || ' ' || "last" full_name from accounts""",
     "merchant_names": f"""with {MERCHANTS}
         select street, merchant, regexp_replace(merchant, 'fraud_', '') display_name from merchants""",
+    "distinct_categories": f"with {RAW} select distinct category from raw",
+    "gender_dictionary": f"with {RAW}, {DICTIONARIES} select * from genders",
     "category_dictionary": f"with {RAW}, {DICTIONARIES} select * from cats",
     "merchant_dictionary": f"""with {MERCHANTS}
         select street, row_number() over (order by street) - 1 street_id
@@ -235,6 +237,7 @@ ORACLE = {
                                      when amt > ACCT_CL_AMT then 'credit' end first_rule from limits)""",
     "txn_verdict": _VERDICTS,
     "verdict_within_60s": WITHIN,
+    "verdict_within_60s_keyed": WITHIN,
     "train_test_split": f"""with {RAW}
         select trans_num, case when cast(('0x' || substr(md5(trans_num), 1, 8)) as bigint) % 100 < 80
                                then 'train' else 'test' end side from raw""",

@@ -128,6 +128,16 @@ def merchant_names(spark, sf_dir):
 # --- dictionaries and features ------------------------------------------------------------------
 
 
+@query
+def distinct_categories(spark, sf_dir):
+    return dic.distinct_values(inputs.raw_txn(spark, sf_dir), "category")
+
+
+@query
+def gender_dictionary(spark, sf_dir):
+    return dic.build_dictionaries(inputs.raw_txn(spark, sf_dir), feat.ENCODED)["gender"]
+
+
 @query
 def category_dictionary(spark, sf_dir):
     return dic.build_dictionary(inputs.raw_txn(spark, sf_dir), "category", "cat_id")
@@ -336,6 +346,16 @@ def verdict_within_60s(spark, sf_dir):
     return answers.withColumn("status_ts", F.col("status_ts").cast("timestamp_ntz"))
 
 
+@query
+def verdict_within_60s_keyed(spark, sf_dir):
+    """The same from a status table checked to hold one verdict per number."""
+    events = inputs.table(spark, sf_dir, "events")
+    status = inputs.txn_status(events)
+    quality.require_primary_key(status, "txn_num")
+    answers = verdicts.verdict_within(inputs.txn_times(events), status, keyed=True)
+    return answers.withColumn("status_ts", F.col("status_ts").cast("timestamp_ntz"))
+
+
 # --- metrics ------------------------------------------------------------------------------------
 
 

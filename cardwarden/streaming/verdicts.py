@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from ..operators.features import build_features, model_inputs
 from ..operators.model import score
 from ..operators.rules import LIMIT_RULES, THRESHOLD, RuleSet, attach_rules, cascade, combine
-from ..operators.verdicts import DEADLINE_SECONDS, deadline_slot, timeout_reply, verdict
+from ..operators.verdicts import (
+    DEADLINE_SECONDS,
+    answered_slots,
+    asked_slot,
+    timeout_reply,
+    verdict,
+)
 
 
 def verdict_stream(
@@ -46,15 +52,14 @@ def verdict_within_stream(
     asked = (
         txn.withColumn(ts, F.col(ts).cast("timestamp"))
         .withWatermark(ts, delay)
-        .withColumn("_slot", deadline_slot(ts, seconds))
+        .withColumn("_slot", asked_slot(ts, seconds))
     )
-    slot = deadline_slot("status_ts", seconds)
     answered = (
         status.select(
             F.col("txn_num").alias("_txn_num"), F.col("status_ts").cast("timestamp"), "txn_status"
         )
         .withWatermark("status_ts", delay)
-        .withColumn("_answer_slot", F.explode(F.array(slot, slot - 1)))
+        .withColumn("_answer_slot", F.explode(answered_slots("status_ts", seconds)))
     )
     joined = asked.join(
         answered,

@@ -33,3 +33,20 @@ def test_from_raw_transactions_to_verdicts(spark, tmp_path):
     rows = read_latest(spark, at("verdicts"), schema, "txn_num", ["txn_status"])
     assert rows.count() == typed.count()
     assert rows.select("txn_status").distinct().count() == 2
+
+
+def test_command_line(spark, tmp_path):
+    from cardwarden.__main__ import main
+
+    at = lambda name: str(tmp_path / name)
+    inputs.raw_txn(spark, SF).write.json(at("raw"))
+    inputs.account_rules(spark, SF).write.json(at("rules"))
+    tables = ["--transaction-table", "cli_txn"]
+    both = [*tables, "--feature-table", "cli_features"]
+    main(["features", "--raw", at("raw"), "--format", "json", "--dictionaries", at("d"), *both])
+    main(["train", "--runs", at("runs"), "--model", at("m"), "--trees", "2", *both])
+    main(["score", "--model", at("m"), "--output", at("scored"), *tables])
+    main(["stream", "--raw", at("raw"), "--rules", at("rules"), "--format", "json", "--output", at("v"),
+          "--checkpoint", at("cp"), "--dictionaries", at("d"), "--model", at("m")])
+    n = spark.read.json(at("raw")).count()
+    assert spark.read.parquet(at("scored")).count() == n == spark.read.parquet(at("v")).count()

@@ -151,3 +151,24 @@ def test_verdict_stream_equals_batch(spark, raw_rows, landing, tmp_path):
     assert rows_of(got) == rows_of(verdict(rules.combine(rules.cascade(scored))))
     statuses = {r["txn_num"]: r["txn_status"] for r in got.collect()}
     assert statuses["b"] == "REJECTED" and statuses["d"] == "REJECTED" and statuses["a"] == "AUTHORIZED"
+
+
+def test_change_feed_and_messages_as_streams(spark, raw_rows, tmp_path):
+    """Inserts of a change feed out as JSON messages, and the messages back into features."""
+    from cardwarden.schemas import CHANGE
+    from cardwarden.sources import from_messages, read_source, to_messages, unwrap_changes
+
+    feed, topic, out = (str(tmp_path / n) for n in ("feed", "topic", "out"))
+    raw_rows.select(
+        F.when(F.col("trans_num") == "b", "delete").otherwise("insert").alias("operationType"),
+        F.struct("*").alias("fullDocument"),
+    ).write.json(feed)
+    changes = unwrap_changes(read_source(spark, CHANGE, "json", feed, streaming=True))
+    messages = to_messages(changes, "trans_num")
+    append_stream(messages, topic, str(tmp_path / "cp1"), format="json").awaitTermination()
+    arrived = read_source(spark, messages.schema, "json", topic, streaming=True)
+    dictionaries = dic.build_dictionaries(raw_rows, ENCODED)
+    features = feature_stream(from_messages(arrived, RAW_TXN), dictionaries)
+    append_stream(features, out, str(tmp_path / "cp2")).awaitTermination()
+    expected = build_features(raw_rows.where("trans_num <> 'b'"), dictionaries, "trans_num")
+    assert rows_of(spark.read.parquet(out)) == rows_of(expected)

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from cardwarden.operators.verdicts import verdict_within
 
 T0 = dt.datetime(2024, 1, 1)
@@ -10,18 +12,20 @@ def at(seconds):
     return T0 + dt.timedelta(seconds=seconds)
 
 
-def answers(spark, txn, status):
+def answers(spark, txn, status, **options):
     t = spark.createDataFrame(txn, "trans_num string, ts timestamp_ntz, tag int")
     s = spark.createDataFrame(status, "txn_num string, status_ts timestamp_ntz, txn_status string")
-    return {r["tag"]: r for r in verdict_within(t, s).collect()}
+    return {r["tag"]: r for r in verdict_within(t, s, **options).collect()}
 
 
-def test_deadline_edges(spark):
+@pytest.mark.parametrize("keyed", [False, True])
+def test_deadline_edges(spark, keyed):
     got = answers(
         spark,
         [("a", at(5), 1), ("b", at(5), 2), ("c", at(5), 3), ("d", at(5), 4), (None, at(5), 5), ("e", None, 6)],
         [("a", at(65), "AUTHORIZED"), ("b", at(65.001), "AUTHORIZED"), ("c", at(5), "REJECTED"),
          ("d", at(4.999), "AUTHORIZED"), (None, at(6), "AUTHORIZED")],
+        keyed=keyed,
     )
     assert got[1]["txn_status"] == "AUTHORIZED" and got[1]["status"] is None
     assert got[3]["txn_status"] == "REJECTED"

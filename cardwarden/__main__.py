@@ -66,10 +66,10 @@ def main(arguments: list[str] | None = None) -> None:
         write_collection(scored, args.output)
     else:
         raw = read_source(spark, RAW_TXN, args.format, args.raw, streaming=True)
-        rules = read_source(spark, RULES, args.format, args.rules)
-        rules = rules.select(*RULES.fieldNames()[:4])
+        limits = RULES.fieldNames()[:4]
         jobs.start_verdict_stream(
-            raw, args.dictionaries, rules, args.model, args.output, args.checkpoint, args.every
+            raw, args.dictionaries,
+            lambda: read_source(spark, RULES, args.format, args.rules).select(*limits), args.model, args.output, args.checkpoint, args.every
         ).awaitTermination()
 
 

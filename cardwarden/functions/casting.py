@@ -14,10 +14,16 @@ def number(value: str | Column, kind: str) -> Column:
 
 
 def card_number(value: str | Column) -> Column:
-    """Card number as a 64-bit integer, so that leading zeros and blanks do not matter in joins."""
+    """Card number as a 64-bit integer; NULL for the few 19-digit numbers beyond that."""
     return as_column(value).try_cast("bigint")
 
 
+def card_key(value: str | Column) -> Column:
+    """Card number for joins: any length, without the blanks and leading zeros that do not count."""
+    digits = F.ltrim(F.trim(as_column(value).cast("string")), F.lit("0"))
+    return F.nullif(digits, F.lit(""))
+
+
 def nan_to_null(value: str | Column) -> Column:
     """NaN sorts above every number in Spark, so a limit of NaN must become NULL before a comparison."""
     return F.nanvl(as_column(value), F.lit(None).cast("double"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -18,7 +18,7 @@ from ..operators.rules import THRESHOLD
 from ..operators.runs import log_run
 from ..session import stage
 from ..sources import write_feature_table, write_table
-from ..streaming import load_dictionary, save_dictionary, upsert_stream, verdict_stream
+from ..streaming import foreach_batch_stream, load_dictionary, save_dictionary, verdict_batches
 
 # Table and run names.
 TRANSACTION_TABLE = "fraud_demo_txn_data"
@@ -98,15 +98,16 @@ def score_table(transactions: DataFrame, model_path: str) -> DataFrame:
 def start_verdict_stream(
     raw: DataFrame,
     dictionary_dir: str,
-    rules: DataFrame,
+    load_rules: Callable[[], DataFrame],
     model_path: str,
     target: str,
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Keep verdict rows for a stream of raw transactions up to date."""
+    """Keep verdict rows for a stream of raw transactions up to date; rules are read per batch."""
     spark = raw.sparkSession
-    verdicts = verdict_stream(
-        raw, saved_dictionaries(spark, dictionary_dir), rules, trees.load(model_path)
+    process = verdict_batches(
+        lambda: saved_dictionaries(spark, dictionary_dir), load_rules, trees.load(model_path),
+        target, checkpoint,
     )
-    return upsert_stream(verdicts, target, "txn_num", ["txn_status"], checkpoint, every)
+    return foreach_batch_stream(raw, process, checkpoint, every)

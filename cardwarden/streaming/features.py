@@ -51,14 +51,16 @@ def refreshing_features(
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        dictionaries = {}
-        for column, id_column in ENCODED.items():
-            path = dictionary_paths[column]
-            known = load_dictionary(spark, path, column, id_column, batch_id)
-            append_batch(new_entries(known, batch, column, id_column), path, batch_id, "stream")
-            dictionaries[column] = load_dictionary(spark, path, column, id_column, batch_id + 1)
-        append_batch(feature_stream(batch, dictionaries), target, batch_id, "features")
-        batch.unpersist()
+        try:
+            dictionaries = {}
+            for column, id_column in ENCODED.items():
+                path = dictionary_paths[column]
+                known = load_dictionary(spark, path, column, id_column, batch_id)
+                append_batch(new_entries(known, batch, column, id_column), path, batch_id, "stream")
+                dictionaries[column] = load_dictionary(spark, path, column, id_column, batch_id + 1)
+            append_batch(feature_stream(batch, dictionaries), target, batch_id, "features")
+        finally:
+            batch.unpersist()
 
     return process
 

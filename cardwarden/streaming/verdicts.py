@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -18,6 +18,7 @@ from ..operators.verdicts import (
     timeout_reply,
     verdict,
 )
+from ..sources.upserts import upsert_sink
 
 
 def verdict_stream(
@@ -28,12 +29,33 @@ def verdict_stream(
     rule_set: RuleSet = LIMIT_RULES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Raw transactions to verdict rows in one query: features, limits, rules, model, verdict."""
+    """Raw transactions, streamed or not, to verdict rows: features, limits, rules, model, verdict."""
     features = build_features(raw, dictionaries, key="trans_num")
     scored = score(model_inputs(attach_rules(features, rules)), model)
     return verdict(combine(cascade(scored, rule_set), "score", threshold))
 
 
+def verdict_batches(
+    load_dictionaries: Callable[[], Mapping[str, DataFrame]],
+    load_rules: Callable[[], DataFrame],
+    model: PipelineModel,
+    target: str,
+    checkpoint: str,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps verdict rows in ``target``.
+
+    Every micro-batch reads dictionaries and limits afresh, so changes to them take effect, and is
+    joined as a table is: adaptively, and with hot cards split off where the limits are too large
+    to broadcast.
+    """
+    upsert = upsert_sink(target, "txn_num", ["txn_status"], checkpoint)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        upsert(verdict_stream(batch, load_dictionaries(), load_rules(), model), batch_id)
+
+    return process
+
+
 def verdict_within_stream(
     txn: DataFrame,
     status: DataFrame,

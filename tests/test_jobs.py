@@ -27,7 +27,7 @@ def test_from_raw_transactions_to_verdicts(spark, tmp_path):
     limits = inputs.account_rules(spark, SF)
     stream = inputs.raw_txn(spark, SF, inputs.event_stream(spark, SF))
     jobs.start_verdict_stream(
-        stream, at("dictionaries"), limits, at("model"), at("verdicts"), at("checkpoint")
+        stream, at("dictionaries"), lambda: limits, at("model"), at("verdicts"), at("checkpoint")
     ).awaitTermination()
     schema = verdict(scored.selectExpr("_id as trans_num", "1 as prediction")).schema
     rows = read_latest(spark, at("verdicts"), schema, "txn_num", ["txn_status"])

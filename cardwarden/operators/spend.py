@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import number
 
-#: Amounts are added as exact decimals, so totals do not depend on the order of rows. No
-#: currency has more than four decimals, and 18 digits still fit a machine word.
-MONEY = "decimal(18,4)"
+#: Amounts are added as exact decimals, so totals do not depend on the order of rows.
+MONEY = "decimal(28,8)"
 
 
 def user_spend(df: DataFrame, by: tuple[str, ...] = ("first", "last")) -> DataFrame:

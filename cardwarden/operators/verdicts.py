@@ -67,18 +67,21 @@ def verdict_within(
 
     ``keyed`` says that ``status`` holds one verdict per number, as the table an upsert keeps does;
     then a left join answers. Otherwise numbers may repeat on both sides, where a join would pair
-    every transaction with every verdict of its number, and a look-ahead is used.
+    every transaction with every verdict of its number. Then the distinct (number, moment) pairs look
+    ahead for their verdict, and each transaction is joined with its pair's answer; adaptive
+    execution splits that join where copies of a transaction pile up.
     """
     if keyed:
         return _join_keyed(txn, status, seconds, key, ts)
-    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    unknown = txn.where(~known).withColumns({
-        "status_ts": F.lit(None).cast("timestamp"),
-        "txn_status": F.lit(None).cast("string"),
-        "status": F.lit(TIMEOUT_STATUS),
-        "reason": F.lit(TIMEOUT_REASON),
-    })
-    return _look_ahead(txn.where(known), status, seconds, key, ts).unionByName(unknown)
+    asked_at = F.col(ts).cast("timestamp")
+    moments = txn.select(F.col(key).alias("_key"), asked_at.alias("_asked_at")).distinct()
+    answers = _look_ahead(moments, status, seconds)
+    joined = txn.join(
+        answers, (F.col(key) == F.col("_key")) & (asked_at == F.col("_asked_at")), "left"
+    )
+    return joined.select(
+        *txn.columns, "status_ts", "txn_status", *timeout_reply(F.col("_key").isNotNull())
+    )
 
 
 def _join_keyed(txn, status, seconds, key, ts):
@@ -95,35 +98,31 @@ def _join_keyed(txn, status, seconds, key, ts):
     )
 
 
-def _look_ahead(txn, status, seconds, key, ts):
-    """The next verdict in time, by one shuffle and a running window.
+def _look_ahead(moments, status, seconds):
+    """The next verdict in time for each (number, moment) that has one.
 
-    Both tables are laid out by key and time slot, a verdict also in the slot before its own where
-    it may still answer transactions of that. Going back in time, a transaction's verdict is the
-    last one passed. The work is linear even where a number is repeated on both sides, and a number
-    repeated over time spreads over its slots.
+    Both tables are laid out by number and time slot, a verdict also in the slot before its own
+    where it may still answer that one's moments. Going back in time, the answer is the last verdict
+    passed. The work is linear even where a number is repeated on both sides, and a number repeated
+    over time spreads over its slots.
     """
-    asked = txn.select(
-        F.col(key).alias("_key"),
-        asked_slot(ts, seconds).alias("_slot"),
-        F.col(ts).cast("timestamp").alias("_at"),
+    asked = moments.where(F.col("_key").isNotNull() & F.col("_asked_at").isNotNull()).select(
+        "_key",
+        asked_slot("_asked_at", seconds).alias("_slot"),
+        F.col("_asked_at").alias("_at"),
         F.lit(1).alias("_kind"),
-        F.struct(*txn.columns).alias("_txn"),
-        F.lit(None).cast("timestamp").alias("status_ts"),
         F.lit(None).cast("string").alias("txn_status"),
     )
     answered = (
         # Copies of a verdict merge before they travel.
-        status.select("txn_num", "status_ts", "txn_status")
+        status.select("txn_num", F.col("status_ts").cast("timestamp").alias("_at"), "txn_status")
         .distinct()
-        .where(F.col("txn_num").isNotNull() & F.col("status_ts").isNotNull())
+        .where(F.col("txn_num").isNotNull() & F.col("_at").isNotNull())
         .select(
             F.col("txn_num").alias("_key"),
-            F.explode(answered_slots("status_ts", seconds)).alias("_slot"),
-            F.col("status_ts").cast("timestamp").alias("_at"),
+            F.explode(answered_slots("_at", seconds)).alias("_slot"),
+            "_at",
             F.lit(0).alias("_kind"),
-            F.lit(None).cast(asked.schema["_txn"].dataType).alias("_txn"),
-            F.col("status_ts").cast("timestamp").alias("status_ts"),
             "txn_status",
         )
     )
@@ -132,19 +131,13 @@ def _look_ahead(txn, status, seconds, key, ts):
         .orderBy(F.desc("_at"), "_kind", F.desc("txn_status"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    seen = F.when(F.col("_kind") == 0, F.struct("status_ts", "txn_status"))
-    looked = (
+    seen = F.when(
+        F.col("_kind") == 0, F.struct(F.col("_at").alias("status_ts"), "txn_status")
+    )
+    return (
         asked.unionByName(answered)
         .withColumn("_next", F.last(seen, ignorenulls=True).over(passed))
         .where(F.col("_kind") == 1)
-    )
-    in_time = F.coalesce(
-        F.col("_next.status_ts") <= F.col("_at") + F.expr(f"interval {seconds} seconds"),
-        F.lit(False),
-    )
-    return looked.select(
-        *[F.col(f"_txn.`{c}`").alias(c) for c in txn.columns],
-        F.when(in_time, F.col("_next.status_ts")).alias("status_ts"),
-        F.when(in_time, F.col("_next.txn_status")).alias("txn_status"),
-        *timeout_reply(in_time),
+        .where(F.col("_next.status_ts") <= F.col("_at") + F.expr(f"interval {seconds} seconds"))
+        .select("_key", F.col("_at").alias("_asked_at"), "_next.status_ts", "_next.txn_status")
     )

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return streaming_source(spark, path, spark.read.parquet(path).schema)
+    schema = table(spark, sf_dir, "events").schema
+    # A pattern, as a plain streaming path must be a folder and the table may be a single file.
+    return streaming_source(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
 def card_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

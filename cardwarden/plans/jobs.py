@@ -20,10 +20,10 @@ from ..session import stage
 from ..sources import write_feature_table, write_table
 from ..streaming import foreach_batch_stream, load_dictionary, save_dictionary, verdict_batches
 
-# Table and run names.
-TRANSACTION_TABLE = "fraud_demo_txn_data"
+# Default table and run names.
+TRANSACTION_TABLE = "txn_data"
 FEATURE_TABLE = "txn_features"
-RUN_NAME = "fraud_tree_model_train"
+RUN_NAME = "tree_model_train"
 
 
 def build_feature_tables(

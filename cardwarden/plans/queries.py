@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -546,21 +548,28 @@ def stream_verdicts(spark, sf_dir):
 
 @query
 def verdict_within_60s_stream(spark, sf_dir):
-    """Stream-stream join; a late closing row and a restart let the last deadlines pass."""
+    """Stream-stream join over stored history.
+
+    Its files come in any order, so the allowed delay is the whole time range and no row is late.
+    A closing row and a restart let the last deadlines pass.
+    """
     path = scratch_path(spark, "deadline")
     batch = inputs.table(spark, sf_dir, "events")
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    delay = last - first + timedelta(minutes=10)
     batch.where("false").write.parquet(f"{path}/closing")
     closing = streaming_source(spark, f"{path}/closing/", batch.schema)
     events = inputs.event_stream(spark, sf_dir).unionByName(closing)
-    answers = verdict_within_stream(inputs.txn_times(events), inputs.txn_status(events))
+    answers = verdict_within_stream(
+        inputs.txn_times(events),
+        inputs.txn_status(events),
+        delay=f"{int(delay.total_seconds())} seconds",
+    )
     with settings(spark, spark__sql__shuffle__partitions=str(state_partitions(spark))):
         append_stream(answers, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-        last = batch.agg(F.max("ts").alias("ts")).select(
-            F.lit(-1).cast("bigint").alias("event_id"),
-            (F.col("ts") + F.expr("interval 1 day")).alias("ts"),
-            *[F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in batch.columns[2:]],
-        )
-        last.write.mode("append").parquet(f"{path}/closing")
+        row = {"event_id": -1, "ts": last + delay + timedelta(days=1)}
+        end = spark.createDataFrame([tuple(row.get(c) for c in batch.columns)], batch.schema)
+        end.write.mode("append").parquet(f"{path}/closing")
         append_stream(answers, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     rows = spark.read.schema(answers.schema).parquet(f"{path}/rows").where("trans_num <> '-1'")
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "status_ts")})

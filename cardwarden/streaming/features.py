@@ -68,9 +68,8 @@ def refreshing_features(
 def streaming_source(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream of the parquet files at ``path``; fewer files per batch mean smaller batches."""
+    """A stream of the parquet files in a folder; fewer files per batch mean smaller batches."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # A pattern may also name a single file, which a plain streaming path may not.
-    return reader.parquet(f"{path}*")
+    return reader.parquet(path)

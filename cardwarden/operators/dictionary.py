@@ -27,7 +27,7 @@ def build_dictionary(
 
 
 def build_dictionaries(df: DataFrame, columns: Mapping[str, str]) -> dict[str, DataFrame]:
-    """One dictionary per column, all from a single scan of ``df``; returned as stored tables."""
+    """One dictionary per column, all from a single scan of ``df``."""
     pairs = F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns
     ])
@@ -38,14 +38,11 @@ def build_dictionaries(df: DataFrame, columns: Mapping[str, str]) -> dict[str, D
         .distinct()
     )
     return {
-        column: stage(
-            number_rows(
-                values.where(F.col("field") == column)
-                .select(F.col("value").cast(df.schema[column].dataType).alias(column)),
-                [column],
-                id_column,
-            ),
-            "dictionary",
+        column: number_rows(
+            values.where(F.col("field") == column)
+            .select(F.col("value").cast(df.schema[column].dataType).alias(column)),
+            [column],
+            id_column,
         )
         for column, id_column in columns.items()
     }

@@ -49,11 +49,13 @@ def train(
     features: Sequence[str] = MODEL_FEATURES,
     label: str = "is_fraud",
     trees: int = TREES,
+    partitions: int | None = None,
     **params,
 ) -> PipelineModel:
     """Fit boosted trees on the named columns.
 
-    The training rows stay distributed. MLlib cuts the growing lineage of the boosting rounds by
+    The training rows stay distributed; ``partitions`` spreads them evenly first, which pays where
+    they come in few or uneven parts, as every tree level passes over them again. MLlib cuts the growing lineage of the boosting rounds by
     checkpoints in the session's ``spark.checkpoint.dir``.
     """
     present = ", ".join(
@@ -69,6 +71,8 @@ def train(
     labelled = df.where(F.col(label).isNotNull()).select(
         *features, F.col(label).cast("double").alias("_label")
     )
+    if partitions:
+        labelled = labelled.repartition(partitions)
     return Pipeline(stages=[fill, assembler, trees_stage]).fit(labelled)
 
 

@@ -22,7 +22,7 @@ def number_rows(
     and adds the size of the partitions before it, of which there is one number per partition.
     """
     order = list(order_by)
-    if df.limit(one_task_rows + 1).count() <= one_task_rows:
+    if df.count() <= one_task_rows:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     ranged = stage(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"

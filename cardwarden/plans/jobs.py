@@ -84,7 +84,7 @@ def train_and_log(
     }
     log_run(
         spark, runs_path, uuid.uuid4().hex, RUN_NAME,
-        datetime.now(timezone.utc).replace(tzinfo=None), trees_count,
+        datetime.now(timezone.utc), trees_count,
         metrics["auc_thresholded"],
     )
     return fitted, metrics

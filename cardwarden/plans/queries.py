@@ -177,7 +177,7 @@ def feature_table(spark, sf_dir):
     """Written as a catalog table under a checked primary key, and read back."""
     path = scratch_path(spark, "feature_table")
     name = "card_features_" + path.rsplit("-", 1)[1]
-    return write_feature_table(_features(spark, sf_dir), name, "_id", path=path)
+    return write_feature_table(stage(_features(spark, sf_dir), "typed"), name, "_id", path=path)
 
 
 @query
@@ -190,7 +190,7 @@ def training_set(spark, sf_dir):
 @query
 def training_set_bucketed(spark, sf_dir):
     """Label and feature tables bucketed by their key, so that the join moves no rows."""
-    typed = _features(spark, sf_dir)
+    typed = stage(_features(spark, sf_dir), "typed")
     paths = [scratch_path(spark, f"bucketed_{side}") for side in ("labels", "features")]
     names = [f"{p.rsplit('/', 1)[1].replace('-', '_')}" for p in paths]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -582,7 +582,8 @@ def _trained(spark, sf_dir):
     """Features and a small model of them."""
     features = stage(feat.model_inputs(_features(spark, sf_dir)), "features")
     train_rows, test_rows = model.split(features, "_id")
-    return features, test_rows, model.train(train_rows, trees=10)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return features, test_rows, model.train(train_rows, trees=10, partitions=partitions)
 
 
 @query

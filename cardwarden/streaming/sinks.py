@@ -17,10 +17,10 @@ def _scheduled(writer: DataStreamWriter, checkpoint: str, every: str | None) ->
 
 
 def append_stream(
-    df: DataFrame, path: str, checkpoint: str, every: str | None = None, format: str = "parquet",
-    **options: str,
+    df: DataFrame, path: str | None, checkpoint: str, every: str | None = None,
+    format: str = "parquet", **options: str,
 ) -> StreamingQuery:
-    """Append every finished row exactly once."""
+    """Append every finished row exactly once; connectors that need no path get None."""
     writer = df.writeStream.format(format).outputMode("append").options(**options)
     return _scheduled(writer, checkpoint, every).start(path)
 

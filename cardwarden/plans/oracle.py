@@ -268,6 +268,8 @@ ORACLE = {
     "incremental_files": f"with {RAW} select trans_num, category, amt from raw",
     "stream_verdicts": _VERDICTS,
     "verdict_within_60s_stream": WITHIN,
+    "gbt_stream_matches_batch": f"""with {RAW}
+        select trans_num, true is_probability, true is_equal from raw""",
     "custom_model_scores": f"""with {RAW}, {TYPED}
         select trans_num _id, round(1 / (1 + exp(-(amt / 100 - 1 + "hour" / 48))), 6) prediction from typed""",
 }

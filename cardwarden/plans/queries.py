@@ -444,7 +444,8 @@ def latest_run(spark, sf_dir):
 def incremental_load(spark, sf_dir):
     """The transactions a table of the first days lacks."""
     raw = inputs.raw_txn(spark, sf_dir)
-    loaded = stage(raw.where("trans_date_trans_time < '2024-01-10 00:00:00'"), "loaded")
+    early = raw.where("trans_date_trans_time < '2024-01-10 00:00:00'")
+    loaded = stage(early.select("trans_num"), "loaded")
     return new_only(raw, loaded, "trans_num")
 
 
@@ -452,6 +453,7 @@ def incremental_load(spark, sf_dir):
 def upsert_latest(spark, sf_dir):
     """Last transaction per card after three upserts whose times overlap."""
     raw = inputs.raw_txn(spark, sf_dir).select("cc_num", "trans_date_trans_time", "trans_num", "amt")
+    raw = stage(raw, "arrivals")
     target = scratch_path(spark, "upserts")
     order = ["trans_date_trans_time", "trans_num"]
     groups = ["amt_text < '2'", "amt_text >= '2' and amt_text < '4'", "amt_text >= '4'"]
@@ -621,6 +623,23 @@ def gbt_stream_scores(spark, sf_dir):
     return _run_append(scored.select("trans_num", "prediction"), "scores")
 
 
+@query
+def gbt_stream_matches_batch(spark, sf_dir):
+    """Every streamed transaction, and whether its score is a probability and the batch's score."""
+    features, _, fitted = _trained(spark, sf_dir)
+    streamed = feature_stream(_raw_stream(spark, sf_dir), _dictionaries(spark, sf_dir))
+    streamed = model.score(feat.model_inputs(streamed), fitted, "streamed")
+    rows = _run_append(streamed.select("trans_num", "streamed"), "scores")
+    batch = model.score(features, fitted, "prediction").select(
+        F.col("_id").alias("trans_num"), "prediction"
+    )
+    return rows.join(batch, "trans_num", "left").select(
+        "trans_num",
+        F.col("prediction").between(0, 1).alias("is_probability"),
+        (F.abs(F.col("streamed") - F.col("prediction")) < 1e-12).alias("is_equal"),
+    )
+
+
 @query
 def custom_model_scores(spark, sf_dir):
     """A user's own vectorized model over the feature columns."""

@@ -68,8 +68,8 @@ def verdict_within_stream(
 
     ``delay`` bounds how late rows may arrive; both watermarks and the time bound let the state of
     older rows go. Key and time slot together are the join key, so a number repeated over time does
-    not gather in one state partition. Repeated verdicts each give a row; an upsert sink ordered by
-    ``status_ts`` keeps one.
+    not gather in one state partition. Repeated verdicts each give a row; ``first_rows`` by number
+    and time keeps the earliest.
     """
     asked = (
         txn.withColumn(ts, F.col(ts).cast("timestamp"))

@@ -14,7 +14,7 @@ TABLES = (
 ).split()
 TYPES = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
-    "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN",
 }
 
 

@@ -16,7 +16,7 @@ from ..operators import features as feat
 from ..operators import find, metrics, model, quality, rules, runs, spend, verdicts
 from ..operators.ranking import latest_rows
 from ..schemas import MODEL_FEATURES
-from ..session import scratch_path, settings, stage, state_partitions
+from ..session import scratch_path, settings, stage, two_per_core
 from ..sources import (
     append_batch,
     changes_for,
@@ -193,7 +193,7 @@ def training_set_bucketed(spark, sf_dir):
     typed = stage(_features(spark, sf_dir), "typed")
     paths = [scratch_path(spark, f"bucketed_{side}") for side in ("labels", "features")]
     names = [f"{p.rsplit('/', 1)[1].replace('-', '_')}" for p in paths]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = two_per_core(spark)
     labels = write_table(typed.select("_id", "is_fraud"), names[0], paths[0], "_id", buckets)
     features = write_feature_table(
         typed, names[1], "_id", path=paths[1], bucket_by="_id", buckets=buckets
@@ -567,7 +567,7 @@ def verdict_within_60s_stream(spark, sf_dir):
         inputs.txn_status(events),
         delay=f"{int(delay.total_seconds())} seconds",
     )
-    with settings(spark, spark__sql__shuffle__partitions=str(state_partitions(spark))):
+    with settings(spark, spark__sql__shuffle__partitions=str(two_per_core(spark))):
         append_stream(answers, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
         row = {"event_id": -1, "ts": last + delay + timedelta(days=1)}
         end = spark.createDataFrame([tuple(row.get(c) for c in batch.columns)], batch.schema)
@@ -584,8 +584,8 @@ def _trained(spark, sf_dir):
     """Features and a small model of them."""
     features = stage(feat.model_inputs(_features(spark, sf_dir)), "features")
     train_rows, test_rows = model.split(features, "_id")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return features, test_rows, model.train(train_rows, trees=10, partitions=partitions)
+    fitted = model.train(train_rows, trees=10, partitions=two_per_core(spark))
+    return features, test_rows, fitted
 
 
 @query

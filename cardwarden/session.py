@@ -88,10 +88,9 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(name, value)
 
 
-def state_partitions(spark: SparkSession) -> int:
-    """Partitions for streaming state: two per core, never above the session's shuffle setting.
-
-    The number is fixed for the life of a checkpoint.
+def two_per_core(spark: SparkSession) -> int:
+    """Partitions for work whose number of parts adaptive execution cannot lower: streaming state
+    (fixed for the life of a checkpoint), buckets, training rows. Never above the shuffle setting.
     """
     return min(
         int(spark.conf.get("spark.sql.shuffle.partitions")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sharding, simhash
+from . import contamination, language, sharding, simhash, substrings
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_simhash, op7_language, op8_contamination)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination)}
 ORACLE: dict[str, str] = {}

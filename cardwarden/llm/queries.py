@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sharding, simhash, substrings
+from . import contamination, language, sharding, simhash, substrings, token_counts
 from .common import table
 
 
+#: Tokenizer files; their place is the same on every machine.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -38,5 +47,5 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination)}
 ORACLE: dict[str, str] = {}

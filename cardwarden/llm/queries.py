@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sharding, simhash, substrings, token_counts
+from . import contamination, language, sharding, simhash, substrings, token_counts, weighted_sampling
 from .common import table
 
 
@@ -47,5 +47,9 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination, op9_fingerprints)}
 ORACLE: dict[str, str] = {}

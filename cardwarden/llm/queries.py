@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sharding, simhash, substrings, token_counts, weighted_sampling
+from . import contamination, language, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = token_files.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprint_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination, op9_fingerprints)}
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,97 @@
+import heapq
+import os
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cardwarden.llm import token_files
+from cardwarden.llm.huffman import Codec, code_lengths
+from cardwarden.llm.queries import op2_token_files
+from cardwarden.session import scratch_path
+from tests.llm.test_token_counts import TEXTS
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def expected(rows):
+    lists = sorted(((d, ids_of(t)) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
+    out, start = [], 0
+    for d, ids in lists:
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 300, token_files.BLOCK])
+def test_edge_texts(spark, documents, block):
+    rows = [(None, "x")] + [(i // 2, t) for i, t in enumerate(TEXTS)] + [(3, "twice"), (3, "twice")]
+    folder = scratch_path(spark, "test")
+    token_files.write_ids(documents(rows), folder, PATH, block=block)
+    got = token_files.read_ids(spark, folder).collect()
+    assert sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in got) == sorted((s, d, n, c) for d, s, n, c in expected(rows))
+
+
+def test_empty_table(documents):
+    assert token_files.round_trip(documents([]), PATH).count() == 0
+
+
+def test_query_on_the_whole_table(spark, small):
+    got = op2_token_files(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == expected([(r.doc_id, r.text) for r in small.collect()])
+
+
+def test_words_may_be_dropped(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 1)
+    own = token_files.WordEncoder(PATH)
+    for t in TEXTS[:-2]:
+        ids, counts = own.encode([t, t])
+        assert ids.tolist() == ids_of(t) * 2 and counts.tolist() == [len(ids_of(t))] * 2
+
+
+def free_huffman(counts):
+    heap = [int(c) for c in counts if c]
+    heapq.heapify(heap)
+    total = 0
+    while len(heap) > 1:
+        s = heapq.heappop(heap) + heapq.heappop(heap)
+        total += s
+        heapq.heappush(heap, s)
+    return total
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 3000])
+def test_codes(n):
+    rng = np.random.default_rng(n)
+    counts = np.zeros(1 << 16, np.int64)
+    counts[rng.choice(1 << 16, n, replace=False)] = rng.pareto(1, n).astype(np.int64) + 1
+    lengths = code_lengths(counts)
+    used = lengths[counts > 0].astype(float)
+    assert lengths.max(initial=0) <= 16 and ((lengths > 0) == (counts > 0)).all() and (2.0**-used).sum() <= 1
+    if n > 1:
+        assert (lengths.astype(np.int64) * counts).sum() >= free_huffman(counts)
+        assert (2.0**-used).sum() == 1
+    codec = Codec(lengths)
+    blocks = [rng.choice(np.flatnonzero(counts), k) if n else np.zeros(0, np.int64) for k in (0, 1, 256, 257, 5000)]
+    coded = [codec.encode(b) for b in blocks]
+    back = codec.decode([c[0] for c in coded], [c[1] for c in coded], [len(b) for b in blocks])
+    assert back.tolist() == np.concatenate(blocks).tolist()
+
+
+def test_unlimited_lengths_are_huffmans_and_limited_ones_optimal():
+    counts = np.array([40, 30, 20, 5, 3, 1, 1])
+    assert (code_lengths(counts).astype(int) * counts).sum() == free_huffman(counts)
+    fib = np.array([1, 1, 2, 3, 5, 8, 13, 21])
+    # The best prefix code of at most 4 bits, by exhaustion.
+    from itertools import product
+
+    best = min((np.array(x) * fib).sum() for x in product(range(1, 5), repeat=8) if sum(2.0**-k for k in x) <= 1)
+    assert (code_lengths(fib, 4).astype(int) * fib).sum() == best

@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
+from . import contamination, language, sentence_pieces, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
 from .common import table
 
 
 #: Tokenizer files; their place is the same on every machine.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +57,30 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprint_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_files, op3_sharding, op4_substrings, op5_simhash, op7_language, op8_contamination, op9_fingerprints)}
+def encoded_and_decoded(documents: DataFrame) -> DataFrame:
+    """Ids of each text, digested, and whether decoding them gives the text back."""
+    text = F.coalesce("text", F.lit(""))
+    # The library too reads a literal U+2581 as a space.
+    plain = F.replace(text, F.lit(sentence_pieces.SPACE), F.lit(" "))
+    rows = documents.select("doc_id", "text", F.length(text).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("want"))
+    found = sentence_pieces.decode(sentence_pieces.encode(rows, PIECE_MODEL), PIECE_MODEL, into="decoded")
+    digest = F.sha2("decoded", 256)
+    return found.select(
+        "doc_id", "n_chars", F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        digest.alias("decoded_sha256"), (digest == F.col("want")).alias("round_trip"),
+    )
+
+
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_token_files, op3_sharding, op4_substrings, op5_simhash,
+        op7_language, op8_contamination, op9_fingerprints, op10_sentence_pieces,
+    )
+}
 ORACLE: dict[str, str] = {}

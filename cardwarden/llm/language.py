@@ -3,7 +3,7 @@
 A text's subwords are the runs of one to three code points inside its words, a word being a run of letters in lower case with a
 mark at either end. Each is hashed to a row of an embedding table; their mean goes through a
 linear softmax. Both are trained by stochastic gradient descent in numpy on the driver, from a sample of at most ``SAMPLE``
-labelled rows, chosen by a hash of the id. A tenth of the sample is set aside to fit
+labelled texts, chosen by a hash of the text. A tenth of the sample is set aside to fit
 the temperature of the softmax and the score below which a prediction is rejected.
 
 As the softmax is linear, the product of both tables is sent to the tasks: one short row of logits per bucket.
@@ -163,11 +163,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return model
 
 
-def train(df: DataFrame, label: str = "lang", id_: str = "doc_id", text: str = "text", rows: int = SAMPLE) -> Model:
-    """Fit on at most ``rows`` labelled rows, those with the least hash of their id."""
-    order = [F.xxhash64(F.col(id_).cast("string"), F.lit("sample")), F.xxhash64(text)]
-    sample = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    taken = sample.orderBy(*order).limit(rows).select(F.col(text).alias("t"), F.col(label).alias("l")).collect()
+def train(df: DataFrame, label: str = "lang", text: str = "text", rows: int = SAMPLE) -> Model:
+    """Fit on at most ``rows`` distinct labelled texts, those with the least hashes.
+
+    The hashes to ask for follow from the number of distinct texts, so that no task sends many more than are taken.
+    """
+    hashed = F.xxhash64(F.col(text), F.lit("sample"))
+    known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    known = known.select(F.col(text).alias("t"), F.col(label).alias("l"), hashed.alias("h"))
+    there = known.agg(F.approx_count_distinct("h")).first()[0]
+    most = min(2.0 * rows / max(there, 1), 1.0)
+    near = known.where(F.col("h") <= min(int(most * 2**64), 2**64 - 1) - 2**63)
+    once = near.groupBy("h").agg(F.min(F.struct("l", "t")).alias("s"))
+    taken = once.orderBy("h").limit(rows).select("s.t", "s.l").collect()
     return fit([r.t for r in taken], [r.l for r in taken])
 
 

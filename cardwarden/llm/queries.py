@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, sentence_pieces, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
+from . import contamination, language, pages, sentence_pieces, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language.train(documents.where(~language.held_out()))
@@ -79,7 +83,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_token_files, op3_sharding, op4_substrings, op5_simhash,
+        op1_token_counts, op2_token_files, op3_sharding, op4_substrings, op5_simhash, op6_pages,
         op7_language, op8_contamination, op9_fingerprints, op10_sentence_pieces,
     )
 }

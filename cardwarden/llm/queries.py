@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, pages, sentence_pieces, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
+from . import contamination, language, oracle, pages, sentence_pieces, sharding, simhash, substrings, token_counts, token_files, weighted_sampling
 from .common import table
 
 
@@ -87,4 +87,4 @@ QUERIES = {
         op7_language, op8_contamination, op9_fingerprints, op10_sentence_pieces,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_substrings": oracle.SUBSTRINGS, "op8_contamination": oracle.CONTAMINATION}

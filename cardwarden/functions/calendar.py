@@ -1,8 +1,7 @@
 """Dates and times of a transaction.
 
 Local timestamps (``timestamp_ntz``) keep the written clock fields whatever the session's
-time zone. One cast reads both formats in use, ``2019-01-01 00:12:34`` and
-``2023-02-14T06:36:30.258Z``.
+time zone. Text in any other than the formats in use is no time and no date, hence NULL.
 """
 
 from __future__ import annotations
@@ -13,12 +12,24 @@ from pyspark.sql import functions as F
 from ._columns import as_column
 
 
+# How times and dates are written.
+CLOCK_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}Z$"
+DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
+EPOCH = "1970-01-01 00:00:00"
+
+
 def txn_time(value: str | Column) -> Column:
-    return as_column(value).try_cast("timestamp_ntz")
+    """``2019-01-01 00:12:34`` or ``2023-02-14T06:36:30.258Z``."""
+    text = as_column(value).cast("string")
+    known = text.rlike(CLOCK_PATTERN) | text.rlike(ISO_PATTERN)
+    return F.when(known, F.regexp_replace(text, "Z$", "")).try_cast("timestamp_ntz")
 
 
 def birth_date(value: str | Column) -> Column:
-    return as_column(value).try_cast("date")
+    """``1980-12-21``."""
+    text = as_column(value).cast("string")
+    return F.when(text.rlike(DATE_PATTERN), text).try_cast("date")
 
 
 def calendar_fields(ts: str | Column) -> dict[str, Column]:
@@ -36,6 +47,8 @@ def clock_text(ts: str | Column) -> Column:
 
 
 def epoch_text(ts: str | Column) -> Column:
-    """Seconds since 1970 as text, milliseconds rounded to the nearest second."""
-    millis = F.unix_millis(as_column(ts).cast("timestamp"))
+    """Seconds since 1970 as text, milliseconds rounded to the nearest second. A local time counts
+    from a local 1970, so the session's time zone has no part in it."""
+    local = as_column(ts).cast("timestamp_ntz")
+    millis = F.timestamp_diff("MILLISECOND", F.lit(EPOCH).cast("timestamp_ntz"), local)
     return F.floor((millis + 500) / 1000).cast("string")

@@ -14,13 +14,14 @@ def number(value: str | Column, kind: str) -> Column:
 
 
 def card_number(value: str | Column) -> Column:
-    """Card number as a 64-bit integer; NULL for the few 19-digit numbers beyond that."""
-    return as_column(value).try_cast("bigint")
+    """Card number as an integer of up to 20 digits, as some 19-digit cards are beyond 64 bits."""
+    return as_column(value).try_cast("decimal(20,0)")
 
 
 def card_key(value: str | Column) -> Column:
-    """Card number for joins: any length, without the blanks and leading zeros that do not count."""
-    digits = F.ltrim(F.trim(as_column(value).cast("string")), F.lit("0"))
+    """Card number for joins: any length, without the blanks and leading zeros that do not count.
+    Card 0 keeps one zero; blank text is no card."""
+    digits = F.regexp_replace(F.trim(as_column(value).cast("string")), "^0+(?=.)", "")
     return F.nullif(digits, F.lit(""))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .joins import lookup_join
-from .ranking import ONE_TASK_ROWS, number_rows
+from .ranking import number_rows
 
 UNKNOWN_ID = -1
 
@@ -19,11 +19,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
 
 
-def build_dictionary(
-    df: DataFrame, column: str, id_column: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def build_dictionary(df: DataFrame, column: str, id_column: str) -> DataFrame:
     """Number the distinct values from 0 in their own order."""
-    return number_rows(stage(distinct_values(df, column)), [column], id_column, one_task_rows)
+    numbered = number_rows(stage(distinct_values(df, column)), [column], id_column)
+    return stage(numbered, "dictionary")
 
 
 def build_dictionaries(df: DataFrame, columns: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -38,25 +37,25 @@ def build_dictionaries(df: DataFrame, columns: Mapping[str, str]) -> dict[str, D
         .distinct()
     )
     return {
-        column: number_rows(
-            values.where(F.col("field") == column)
-            .select(F.col("value").cast(df.schema[column].dataType).alias(column)),
-            [column],
-            id_column,
+        column: stage(
+            number_rows(
+                values.where(F.col("field") == column)
+                .select(F.col("value").cast(df.schema[column].dataType).alias(column)),
+                [column],
+                id_column,
+            ),
+            "dictionary",
         )
         for column, id_column in columns.items()
     }
 
 
-def new_entries(
-    dictionary: DataFrame, df: DataFrame, column: str, id_column: str,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def new_entries(dictionary: DataFrame, df: DataFrame, column: str, id_column: str) -> DataFrame:
     """Entries for the values of ``df`` the dictionary lacks, numbered on from its last id."""
     unseen = stage(distinct_values(df, column).join(dictionary, column, "left_anti"))
     last = dictionary.agg(F.max(id_column).alias("last")).first()["last"]
     start = 0 if last is None else last + 1
-    numbered = number_rows(unseen, [column], id_column, one_task_rows)
+    numbered = number_rows(unseen, [column], id_column)
     return numbered.withColumn(id_column, F.col(id_column) + F.lit(start).cast("bigint"))
 
 

@@ -46,8 +46,14 @@ def match_merchant(picks: DataFrame, merchants: DataFrame, order_by: str = "stre
 
 
 def merchant_streets(merchants: DataFrame) -> DataFrame:
-    """The streets of each merchant, one row per record, as a picker lists them."""
-    return merchants.select("merchant", "street")
+    """The streets of each merchant in order, each once, as a picker lists them."""
+    streets = F.sort_array(F.collect_set("street"))
+    return merchants.groupBy("merchant").agg(streets.alias("streets"))
+
+
+def streets_of(merchants: DataFrame, merchant: str) -> DataFrame:
+    """The streets of one merchant in order, each once."""
+    return merchants.where(F.col("merchant") == merchant).select("street").distinct().orderBy("street")
 
 
 def fraud_only(df: DataFrame, label: str = "is_fraud") -> DataFrame:

@@ -4,89 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Largest measured size, in bytes, of a table that is sent to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-_VARIABLE = (T.StringType, T.BinaryType)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Rows and text of ``df`` in bytes, counted by one aggregate over it.
-
-    Each value is charged two words, as a hashed relation keeps the key beside the row.
-    """
-    texts = [F.lit(0)]
-    for field in df.schema.fields:
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, _VARIABLE):
-            texts.append(F.coalesce(F.octet_length(value), F.lit(0)))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            texts.append(F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)))
-    row_bytes = sum(texts[1:], texts[0]) + F.lit(16 + 16 * len(df.columns))
-    return df.agg(F.coalesce(F.sum(row_bytes.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that alone hold more than an even share of a shuffle partition, from one pass.
-
-    With P shuffle partitions fewer than P keys can, so all of them are among the P largest.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = Observation()
-    largest = (
-        df.select(*keys)
-        .observe(seen, F.count(F.lit(1)).alias("rows"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .orderBy(F.desc("_rows"))
-        .limit(parts)
-        .collect()
-    )
-    total = seen.get["rows"]
-    hot = [
-        row[:-1] for row in largest if row["_rows"] * parts > total and None not in row[:-1]
-    ]
-    return spark.createDataFrame(hot, df.select(*keys).schema)
+#: Copies of a lookup row, each for one share of a hot key's rows, where a stream asks for them.
+SALTS = 16
 
 
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    broadcast_bytes: int | None = None,
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 1
 ) -> DataFrame:
     """Join ``left`` with the lookup table ``right``; ``how`` is inner, left, left_semi or left_anti.
 
-    A lookup table of measured small size goes to every executor, and ``left`` is not shuffled.
-    A larger one is shuffled together with ``left``, except for the hot keys (and NULL keys) of
-    ``left``: their few lookup rows are broadcast, so no task receives a whole hot group. Should
-    even those rows be too many, adaptive execution splits the skewed partitions instead.
+    Each side is read once. Spark sends ``right`` to every executor if its size, known from the
+    files or from the shuffle that wrote it, is under the session's broadcast thresholds, and
+    ``left`` is then not shuffled. Otherwise both sides are shuffled by key, and adaptive execution
+    splits the partitions that hot keys, NULL included, have made too large.
 
-    ``right`` should be a stored table, as it is read once for its size and once for the join.
+    A streaming query is not executed adaptively. Where its lookup table is too large to broadcast,
+    ``salts`` deals the rows of a key to that many tasks, by a hash of the row, with a copy of the
+    lookup row for each.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(right, broadcast_bytes):
-        return left.join(F.broadcast(right), keys, how)
-    if left.isStreaming:
-        return left.join(right, keys, how)
-    hot = hot_keys(left, keys)
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    if not fits_broadcast(hot_right, broadcast_bytes):
+    if salts == 1:
         return left.join(right, keys, how)
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    is_hot = F.col("_hot").isNotNull()
-    for key in keys:
-        is_hot = is_hot | F.col(key).isNull()
-    local = marked.where(is_hot).drop("_hot").join(F.broadcast(hot_right), keys, how)
-    shuffled = marked.where(~is_hot).drop("_hot").join(right, keys, how)
-    return local.unionByName(shuffled)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

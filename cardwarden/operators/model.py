@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MODEL_FEATURES
+from ..session import parts_of, stage
 
 # Share of training rows in percent, seed and number of trees.
 TRAIN_PERCENT = 80
@@ -49,13 +50,13 @@ def train(
     features: Sequence[str] = MODEL_FEATURES,
     label: str = "is_fraud",
     trees: int = TREES,
-    partitions: int | None = None,
     **params,
 ) -> PipelineModel:
     """Fit boosted trees on the named columns.
 
-    The training rows stay distributed; ``partitions`` spreads them evenly first, which pays where
-    they come in few or uneven parts, as every tree level passes over them again. MLlib cuts the growing lineage of the boosting rounds by
+    The training rows are written once, as every tree level passes over them again, and dealt by
+    their values to as many sorted parts as their bytes ask for; so the fitted trees do not depend
+    on how ``df`` was partitioned. MLlib cuts the growing lineage of the boosting rounds by
     checkpoints in the session's ``spark.checkpoint.dir``.
     """
     present = ", ".join(
@@ -64,23 +65,25 @@ def train(
         for c in features
     )
     fill = SQLTransformer(statement=f"SELECT *, {present} FROM __THIS__")
-    assembler = VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol="features")
+    assembler = VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol="_features")
     trees_stage = GBTClassifier(
-        featuresCol="features", labelCol="_label", maxIter=trees, seed=SEED, **params
-    )
+        featuresCol="_features", labelCol="_label", predictionCol="_predicted", maxIter=trees,
+        seed=SEED, **params
+    ).setRawPredictionCol("_raw").setProbabilityCol("_chance")
     labelled = df.where(F.col(label).isNotNull()).select(
         *features, F.col(label).cast("double").alias("_label")
     )
-    if partitions:
-        labelled = labelled.repartition(partitions)
+    labelled = stage(labelled, "labelled")
+    columns = labelled.columns
+    labelled = labelled.repartition(parts_of(labelled), *columns).sortWithinPartitions(*columns)
     return Pipeline(stages=[fill, assembler, trees_stage]).fit(labelled)
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "score") -> DataFrame:
     """Add the probability of fraud; works on a stream as on a table, without Python workers."""
-    scored = model.transform(df.drop("features", "rawPrediction", "probability"))
+    scored = model.transform(df)
     kept = [c for c in df.columns if c != name]
-    return scored.select(*kept, vector_to_array("probability")[1].alias(name))
+    return scored.select(*kept, vector_to_array("_chance")[1].alias(name))
 
 
 def importances(

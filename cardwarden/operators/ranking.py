@@ -9,21 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-#: Below this many rows one sort in one task is cheaper than a range-partitioned one.
-ONE_TASK_ROWS = 100_000
 
-
-def number_rows(
-    df: DataFrame, order_by: Sequence[str], name: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def number_rows(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     """Add a dense number from 0 in the order of ``order_by``; ``df`` should be a stored table.
 
-    Large tables are range-partitioned on the order columns. Each partition numbers its own rows
+    The table is range-partitioned on the order columns. Each partition numbers its own rows
     and adds the size of the partitions before it, of which there is one number per partition.
     """
     order = list(order_by)
-    if df.count() <= one_task_rows:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     ranged = stage(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
     )

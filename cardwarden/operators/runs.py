@@ -15,10 +15,12 @@ PROMOTION_FLOOR = 0.91
 
 def log_run(
     spark: SparkSession, path: str, run_id: str, name: str, start_time: datetime,
-    n_estimators: int, auc: float,
+    n_estimators: int, auc: float, auc_thresholded: float, model_path: str,
 ) -> None:
-    """Append one run to the log."""
-    row = spark.createDataFrame([(run_id, name, start_time, n_estimators, auc)], RUNS)
+    """Append one run to the log: its parameter, the AUC of the scores, that of the 0/1 predictions,
+    and where its model is."""
+    values = (run_id, name, start_time, n_estimators, auc, auc_thresholded, model_path)
+    row = spark.createDataFrame([values], RUNS)
     row.coalesce(1).write.mode("append").parquet(path)
 
 
@@ -27,6 +29,16 @@ def latest_run(runs: DataFrame, name: str) -> DataFrame:
     return runs.where(F.col("name") == name).orderBy(F.desc("start_time"), F.desc("run_id")).limit(1)
 
 
-def promoted(runs: DataFrame, floor: float = PROMOTION_FLOOR) -> DataFrame:
+def promoted(
+    runs: DataFrame, floor: float = PROMOTION_FLOOR, metric: str = "auc_thresholded"
+) -> DataFrame:
     """Runs good enough to be used for scoring."""
-    return runs.where(F.col("auc") > floor)
+    return runs.where(F.col(metric) > floor)
+
+
+def model_in_use(runs: DataFrame, name: str, floor: float = PROMOTION_FLOOR) -> str:
+    """Where the model of the last promoted run under a name is; without one there is nothing to use."""
+    row = latest_run(promoted(runs, floor), name).first()
+    if row is None:
+        raise LookupError(f"no run of {name} has an AUC above {floor}")
+    return row["model_path"]

@@ -13,17 +13,29 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import model as trees
 from ..operators.dictionary import build_dictionaries
 from ..operators.features import ENCODED, build_features, separate, training_set
-from ..operators.metrics import auc, auc_thresholded
-from ..operators.rules import THRESHOLD
-from ..operators.runs import log_run
+from ..functions import over
+from ..operators.metrics import auc, auc_thresholded, confusion, report
+from ..operators.rules import LIMIT_RULES, THRESHOLD, RuleSet
+from ..operators.runs import log_run, model_in_use
+from ..operators.spend import user_spend
+from ..schemas import RUNS
 from ..session import stage
 from ..sources import write_feature_table, write_table
-from ..streaming import foreach_batch_stream, load_dictionary, save_dictionary, verdict_batches
+from ..streaming import (
+    foreach_batch_stream,
+    load_dictionary,
+    refreshing_features,
+    save_dictionary,
+    verdict_batches,
+)
 
 # Default table and run names.
 TRANSACTION_TABLE = "txn_data"
 FEATURE_TABLE = "txn_features"
+SPEND_TABLE = "user_spend"
 RUN_NAME = "tree_model_train"
+#: Thresholds of the reports that go with a run.
+REPORT_THRESHOLDS = (0.3, 0.5)
 
 
 def build_feature_tables(
@@ -62,16 +74,19 @@ def train_and_log(
     transactions: DataFrame,
     features: DataFrame,
     runs_path: str,
-    model_path: str,
+    models_dir: str,
     key: str = "_id",
     trees_count: int = trees.TREES,
     threshold: float = THRESHOLD,
 ) -> tuple[PipelineModel, dict[str, float]]:
-    """Train on 80 % of the rows, save the model, log the run; returns the model and both AUCs.
+    """Train on 80 % of the rows, save the model under the run's id, log the run and its reports.
 
-    The logged AUC is that of the 0/1 predictions, which the promotion gate looks at.
+    Returns the model and both AUCs. The promotion gate looks at that of the 0/1 predictions. No
+    earlier model is touched, so what is in use stays in use until a run passes the gate.
     """
     spark = transactions.sparkSession
+    run_id = uuid.uuid4().hex
+    model_path = f"{models_dir}/{run_id}"
     labels = transactions.select(key, "is_fraud")
     rows = training_set(labels, features, key, exclude=())
     train_rows, test_rows = trees.split(rows, key)
@@ -82,32 +97,58 @@ def train_and_log(
         "auc": auc(scored, "is_fraud", "score").first()["auc"],
         "auc_thresholded": auc_thresholded(scored, "is_fraud", "score", threshold).first()["auc"],
     }
+    for limit in REPORT_THRESHOLDS:
+        predicted = scored.withColumn("prediction", over("score", limit))
+        lines = report(confusion(predicted, "is_fraud", "prediction"))
+        path = f"{runs_path}-reports/run_id={run_id}/threshold={limit}"
+        lines.coalesce(1).write.mode("overwrite").parquet(path)
     log_run(
-        spark, runs_path, uuid.uuid4().hex, RUN_NAME,
-        datetime.now(timezone.utc), trees_count,
-        metrics["auc_thresholded"],
+        spark, runs_path, run_id, RUN_NAME, datetime.now(timezone.utc), trees_count,
+        metrics["auc"], metrics["auc_thresholded"], model_path,
     )
     return fitted, metrics
 
 
-def score_table(transactions: DataFrame, model_path: str) -> DataFrame:
-    """The whole transaction table with the saved model's probability of fraud."""
-    return trees.score(transactions, trees.load(model_path), "prediction")
+def promoted_model(spark: SparkSession, runs_path: str) -> PipelineModel:
+    """The model of the last run that passed the gate; an error if there is none."""
+    return trees.load(model_in_use(spark.read.schema(RUNS).parquet(runs_path), RUN_NAME))
+
+
+def score_table(transactions: DataFrame, runs_path: str) -> DataFrame:
+    """The whole transaction table with the promoted model's probability of fraud."""
+    model = promoted_model(transactions.sparkSession, runs_path)
+    return trees.score(transactions, model, "prediction")
+
+
+def build_spend_table(raw: DataFrame, spend_table: str = SPEND_TABLE, **table) -> DataFrame:
+    """Spend per user as a table."""
+    return write_table(user_spend(raw), spend_table, **table)
+
+
+def start_feature_stream(
+    raw: DataFrame, dictionary_dir: str, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Typed and encoded features of a stream of raw transactions, dictionaries kept up to date."""
+    paths = {column: f"{dictionary_dir}/{column}" for column in ENCODED}
+    process = refreshing_features(paths, target, checkpoint)
+    return foreach_batch_stream(raw, process, checkpoint, every)
 
 
 def start_verdict_stream(
     raw: DataFrame,
     dictionary_dir: str,
     load_rules: Callable[[], DataFrame],
-    model_path: str,
+    runs_path: str,
     target: str,
     checkpoint: str,
     every: str | None = None,
+    rule_set: RuleSet = LIMIT_RULES,
 ) -> StreamingQuery:
-    """Keep verdict rows for a stream of raw transactions up to date; rules are read per batch."""
+    """Keep verdict rows for a stream of raw transactions up to date, by the promoted model; limits
+    are read per batch."""
     spark = raw.sparkSession
     process = verdict_batches(
-        lambda: saved_dictionaries(spark, dictionary_dir), load_rules, trees.load(model_path),
-        target, checkpoint,
+        lambda: saved_dictionaries(spark, dictionary_dir), load_rules,
+        promoted_model(spark, runs_path), target, checkpoint, rule_set,
     )
     return foreach_batch_stream(raw, process, checkpoint, every)

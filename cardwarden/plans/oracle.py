@@ -166,7 +166,7 @@ ORACLE = {
                cast(date_part('hour', t) as int) "hour", cast(date_part('day', t) as int) "day",
                cast(date_part('month', t) as int) "month",
                cast(date_part('year', t) - date_part('year', b) as int) age,
-               cast(cc_num as bigint) cc_num, trans_date_trans_time clock,
+               cast(cast(cc_num as bigint) as varchar) cc_num, trans_date_trans_time clock,
                cast(cast(epoch(t) as bigint) as varchar) unix_time
         from (select *, strptime(trans_date_trans_time, '%Y-%m-%d %H:%M:%S') t,
                      strptime(dob, '%Y-%m-%d') b from raw)""",
@@ -200,7 +200,8 @@ ORACLE = {
     "key_violations": "select o_custkey, count(*) n from orders group by 1 having count(*) > 1 or o_custkey is null",
     "fraud_only": f"with {RAW}, {TYPED} select * from typed where is_fraud = 1",
     "fraud_preview": f"with {RAW}, {TYPED} select * from typed where is_fraud = 1 order by trans_num limit 10",
-    "merchant_streets": f"with {MERCHANTS} select merchant, street from merchants",
+    "merchant_streets": f"""with {MERCHANTS}
+        select merchant, string_agg(distinct street, '|' order by street) streets from merchants group by merchant""",
     "merchant_match": f"""with {MERCHANTS}
         select l_orderkey, l_linenumber, merchant, street, state, zip, merch_lat
         from lineitem join supplier on s_suppkey = l_suppkey join merchants on street = s_name""",
@@ -217,7 +218,8 @@ ORACLE = {
                case when value > 250 then 'REJECTED' else 'AUTHORIZED' end txn_status
         from events where event_id % 5 <> 0 and value > 100""",
     "message_roundtrip": f"with {RAW} select * from raw",
-    "rules_attached": f"with {LIMITS} select * exclude (score) from limits",
+    "rules_attached": f"""with {LIMITS}
+        select * exclude (score) replace (cast(cc_num as varchar) as cc_num) from limits""",
     "rule_cascade": f"""with {LIMITS}
         select trans_num, "case", first_rule, 'limits-1' rule_version from cascade""",
     "rule_and_vector": f"""with {LIMITS}
@@ -264,7 +266,30 @@ ORACLE = {
     "featurized_stream": _STREAM_FEATURES,
     "stream_dictionary_refresh": f"with {RAW} select trans_num, category, gender from raw",
     "upsert_stream_latest": LATEST,
-    "continuous_copy": f"with {RAW} select trans_num, cc_num, category, amt from raw",
+    "continuous_copy": f"""with {RAW}
+        select cc_num, trans_num, trans_date_trans_time, category, amt from raw
+        qualify row_number() over (
+          partition by cc_num order by trans_date_trans_time desc, trans_num desc) = 1""",
+    "dictionary_two_queries": f"""with {RAW}
+        select trans_num, category, cast(1 as bigint) values_of_id, cast(1 as bigint) ids_of_value from raw""",
+    "verdict_changed": _VERDICTS,
+    "watched_changes_stream": """
+        select cast(event_id as varchar) txn_num, ts + (event_id % 90) * interval 1 second status_ts,
+               case when value > 250 then 'REJECTED' else 'AUTHORIZED' end txn_status
+        from events where event_id % 5 <> 0 and value > 100""",
+    "gbt_scores": f"""with {RAW}
+        select trans_num _id, cast(is_fraud as int) is_fraud, true is_probability from raw""",
+    "gbt_importances": """
+        select unnest(['amt', 'cat_id', 'city_pop', 'day', 'hour', 'lat', 'long', 'merch_lat',
+                       'merch_long', 'month', 'zip']) feature,
+               true is_share, true all_descend_to_one""",
+    "gbt_reload_check": f"""with {RAW}
+        select trans_num _id, true is_equal from raw
+        where cast(('0x' || substr(md5(trans_num), 1, 8)) as bigint) % 100 >= 80""",
+    "gbt_stream_scores": f"with {RAW} select trans_num, true is_probability from raw",
+    "logged_runs": f"""with {RUNS}
+        select run_id, name, n_estimators, auc, auc auc_thresholded from runs where auc is not null""",
+    "promoted_model_used": f"with {RAW} select trans_num _id, true is_equal from raw",
     "incremental_files": f"with {RAW} select trans_num, category, amt from raw",
     "stream_verdicts": _VERDICTS,
     "verdict_within_60s_stream": WITHIN,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -15,11 +15,12 @@ from ..operators import dictionary as dic
 from ..operators import features as feat
 from ..operators import find, metrics, model, quality, rules, runs, spend, verdicts
 from ..operators.ranking import latest_rows
-from ..schemas import MODEL_FEATURES
-from ..session import scratch_path, settings, stage, two_per_core
+from ..schemas import MODEL_FEATURES, RUNS
+from ..session import parts_of, scratch_path, settings, stage
 from ..sources import (
     append_batch,
     changes_for,
+    compact,
     from_messages,
     load_new_files,
     new_only,
@@ -27,6 +28,7 @@ from ..sources import (
     read_source,
     to_messages,
     unwrap_changes,
+    upsert_sink,
     write_collection,
     write_feature_table,
     write_table,
@@ -102,7 +104,7 @@ def calendar_features(spark, sf_dir):
         "day",
         "month",
         "age",
-        fn.card_number("cc_num").alias("cc_num"),
+        fn.card_number("cc_num").cast("string").alias("cc_num"),
         fn.clock_text("trans_date_trans_time").alias("clock"),
         fn.epoch_text("trans_date_trans_time").alias("unix_time"),
     )
@@ -147,9 +149,7 @@ def category_dictionary(spark, sf_dir):
 
 @query
 def merchant_dictionary(spark, sf_dir):
-    """Street names are many: numbered range by range rather than in one task."""
-    merchants = inputs.merchants(spark, sf_dir)
-    return dic.build_dictionary(merchants, "street", "street_id", one_task_rows=0)
+    return dic.build_dictionary(inputs.merchants(spark, sf_dir), "street", "street_id")
 
 
 @query
@@ -193,7 +193,7 @@ def training_set_bucketed(spark, sf_dir):
     typed = stage(_features(spark, sf_dir), "typed")
     paths = [scratch_path(spark, f"bucketed_{side}") for side in ("labels", "features")]
     names = [f"{p.rsplit('/', 1)[1].replace('-', '_')}" for p in paths]
-    buckets = two_per_core(spark)
+    buckets = parts_of(typed)
     labels = write_table(typed.select("_id", "is_fraud"), names[0], paths[0], "_id", buckets)
     features = write_feature_table(
         typed, names[1], "_id", path=paths[1], bucket_by="_id", buckets=buckets
@@ -222,7 +222,8 @@ def fraud_preview(spark, sf_dir):
 
 @query
 def merchant_streets(spark, sf_dir):
-    return find.merchant_streets(inputs.merchants(spark, sf_dir))
+    listed = find.merchant_streets(inputs.merchants(spark, sf_dir))
+    return listed.select("merchant", F.array_join("streets", "|").alias("streets"))
 
 
 @query
@@ -297,7 +298,7 @@ def message_roundtrip(spark, sf_dir):
 
 @query
 def rules_attached(spark, sf_dir):
-    return _limits(spark, sf_dir).drop("score")
+    return _limits(spark, sf_dir).drop("score").withColumn("cc_num", F.col("cc_num").cast("string"))
 
 
 @query
@@ -324,13 +325,17 @@ def rule_model_review(spark, sf_dir):
 
 @query
 def user_rules(spark, sf_dir):
-    """A rule set of the user's own, as stored data would give it."""
+    """A rule set of the user's own, stored as data and read back."""
     own = rules.RuleSet("own-2", (
         rules.Rule("large", "amt > 200"),
         rules.Rule("burst", "amt > 3 * AVG_DLY_AUTHZN_AMT"),
         rules.Rule("credit", "amt > ACCT_CL_AMT"),
     ))
-    return rules.cascade(_limits(spark, sf_dir), own).select(
+    path = scratch_path(spark, "rule_sets")
+    for rule_set in (rules.LIMIT_RULES, own):
+        rules.save_rules(spark, rule_set, path)
+    stored = rules.load_rules(spark, path, "own-2")
+    return rules.cascade(_limits(spark, sf_dir), stored).select(
         "trans_num", "case", "first_rule", "rule_version"
     )
 
@@ -429,7 +434,7 @@ def _daily_runs(spark, sf_dir):
 
 @query
 def promotion_gate(spark, sf_dir):
-    return runs.promoted(_daily_runs(spark, sf_dir))
+    return runs.promoted(_daily_runs(spark, sf_dir), metric="auc")
 
 
 @query
@@ -456,9 +461,10 @@ def upsert_latest(spark, sf_dir):
     raw = stage(raw, "arrivals")
     target = scratch_path(spark, "upserts")
     order = ["trans_date_trans_time", "trans_num"]
-    groups = ["amt_text < '2'", "amt_text >= '2' and amt_text < '4'", "amt_text >= '4'"]
-    for batch_id, group in enumerate(groups):
-        rows = raw.withColumn("amt_text", F.substring("amt", 1, 1)).where(group).drop("amt_text")
+    first = F.coalesce(F.substring("amt", 1, 1), F.lit(""))
+    group = F.when(first < "2", 0).when(first < "4", 1).otherwise(2)
+    for batch_id in range(3):
+        rows = raw.where(group == batch_id)
         append_batch(latest_rows(rows, "cc_num", order), target, batch_id)
     return read_latest(spark, target, raw.schema, "cc_num", order)
 
@@ -495,7 +501,7 @@ def stream_dictionary_refresh(spark, sf_dir):
     paths = {column: f"{path}/{column}" for column in feat.ENCODED}
     for column, dictionary in dic.build_dictionaries(raw.where("is_fraud = '1'"), feat.ENCODED).items():
         save_dictionary(dictionary, paths[column])
-    process = refreshing_features(paths, f"{path}/features")
+    process = refreshing_features(paths, f"{path}/features", f"{path}/checkpoint")
     stream = foreach_batch_stream(_raw_stream(spark, sf_dir), process, f"{path}/checkpoint")
     stream.awaitTermination()
     rows = spark.read.parquet(f"{path}/features").select("trans_num", "cat_id", "gender_id")
@@ -517,13 +523,65 @@ def upsert_stream_latest(spark, sf_dir):
 
 @query
 def continuous_copy(spark, sf_dir):
-    """A stream over the files another stream wrote, upserted by transaction."""
-    first = _raw_stream(spark, sf_dir).select("trans_num", "cc_num", "category", "amt")
+    """A stream over the files another stream wrote, upserted by card: the latest transaction stays."""
+    columns = ["cc_num", "trans_num", "trans_date_trans_time", "category", "amt"]
+    first = _raw_stream(spark, sf_dir).select(*columns)
     path = scratch_path(spark, "copy")
     append_stream(first, f"{path}/processed", f"{path}/checkpoint_1").awaitTermination()
     second = streaming_source(spark, f"{path}/processed", first.schema)
-    upsert_stream(second, f"{path}/rows", "trans_num", ["amt"], f"{path}/checkpoint_2").awaitTermination()
-    return read_latest(spark, f"{path}/rows", first.schema, "trans_num", ["amt"])
+    order = ["trans_date_trans_time", "trans_num"]
+    upsert_stream(second, f"{path}/rows", "cc_num", order, f"{path}/checkpoint_2").awaitTermination()
+    compact(spark, f"{path}/rows", first.schema, "cc_num", order)
+    return read_latest(spark, f"{path}/rows", first.schema, "cc_num", order)
+
+
+@query
+def dictionary_two_queries(spark, sf_dir):
+    """Two queries, each with a checkpoint of its own, extend one dictionary one after the other.
+
+    Every row of both is there, and every value has one id that no other value has.
+    """
+    raw = inputs.raw_txn(spark, sf_dir)
+    path = scratch_path(spark, "two_queries")
+    paths = {column: f"{path}/{column}" for column in feat.ENCODED}
+    for column, dictionary in dic.build_dictionaries(raw.where("is_fraud = '1'"), feat.ENCODED).items():
+        save_dictionary(dictionary, paths[column])
+    early = F.coalesce(F.col("category").isin("click", "view"), F.lit(False))
+    for name, side in (("first", early), ("second", ~early)):
+        process = refreshing_features(paths, f"{path}/features", f"{path}/{name}")
+        rows = _raw_stream(spark, sf_dir).where(side)
+        foreach_batch_stream(rows, process, f"{path}/{name}").awaitTermination()
+    rows = spark.read.parquet(f"{path}/features").select("trans_num", "cat_id")
+    entries = stage(load_dictionary(spark, paths["category"], "category", "cat_id"), "entries")
+    per_id = entries.groupBy("cat_id").agg(F.count("*").alias("values_of_id"))
+    per_value = entries.groupBy("category").agg(F.count("*").alias("ids_of_value"))
+    return rows.join(entries, "cat_id").join(per_id, "cat_id").join(per_value, "category").select(
+        "trans_num", "category", "values_of_id", "ids_of_value"
+    )
+
+
+@query
+def verdict_changed(spark, sf_dir):
+    """Each transaction is first REJECTED, then judged anew by a later query: the later verdict stands."""
+    path = scratch_path(spark, "changed")
+    judged = verdicts.verdict(rules.combine(rules.cascade(_limits(spark, sf_dir))))
+    judged = stage(judged, "judged")
+    first = judged.withColumn("txn_status", F.lit(verdicts.REJECTED))
+    for batch_id, rows in ((1, first), (0, judged)):
+        upsert_sink(f"{path}/rows", "txn_num", ["txn_status"], f"{path}/{batch_id}")(rows, batch_id)
+    return read_latest(spark, f"{path}/rows", judged.schema, "txn_num", [])
+
+
+@query
+def watched_changes_stream(spark, sf_dir):
+    """The change feed filtered as it arrives."""
+    events = inputs.event_stream(spark, sf_dir)
+    feed = inputs.txn_status(events).select(
+        F.lit("insert").alias("operationType"), F.struct("*").alias("fullDocument")
+    )
+    waiting = inputs.table(spark, sf_dir, "events").where("value > 100")
+    watched = waiting.select(F.col("event_id").cast("string").alias("txn_num"))
+    return _run_append(changes_for(feed, stage(watched, "waiting")), "watched")
 
 
 @query
@@ -531,7 +589,7 @@ def incremental_files(spark, sf_dir):
     """Two scheduled runs over a growing set of files; the second adds only the new ones."""
     raw = inputs.raw_txn(spark, sf_dir).select("trans_num", "category", "amt")
     path = scratch_path(spark, "files")
-    early = F.col("category").isin("click", "view")
+    early = F.coalesce(F.col("category").isin("click", "view"), F.lit(False))
     for batch in (early, ~early):
         raw.where(batch).write.mode("append").parquet(f"{path}/landing")
         arrivals = streaming_source(spark, f"{path}/landing/", raw.schema)
@@ -567,7 +625,8 @@ def verdict_within_60s_stream(spark, sf_dir):
         inputs.txn_status(events),
         delay=f"{int(delay.total_seconds())} seconds",
     )
-    with settings(spark, spark__sql__shuffle__partitions=str(two_per_core(spark))):
+    # State lives for the whole query, so it gets a part for each 128 MB of what it may hold.
+    with settings(spark, spark__sql__shuffle__partitions=str(2 * parts_of(batch))):
         append_stream(answers, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
         row = {"event_id": -1, "ts": last + delay + timedelta(days=1)}
         end = spark.createDataFrame([tuple(row.get(c) for c in batch.columns)], batch.schema)
@@ -580,47 +639,88 @@ def verdict_within_60s_stream(spark, sf_dir):
 # --- models -------------------------------------------------------------------------------------
 
 
+#: Where the model of an application and a folder of tables is.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
 def _trained(spark, sf_dir):
-    """Features and a small model of them."""
+    """Features and the model fitted on their training rows, once per application."""
     features = stage(feat.model_inputs(_features(spark, sf_dir)), "features")
     train_rows, test_rows = model.split(features, "_id")
-    fitted = model.train(train_rows, trees=10, partitions=two_per_core(spark))
-    return features, test_rows, fitted
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        path = scratch_path(spark, "model")
+        model.save(model.train(train_rows), path)
+        _MODELS[key] = path
+    return features, test_rows, model.load(_MODELS[key])
 
 
 @query
 def gbt_scores(spark, sf_dir):
+    """Every transaction, and whether its score is a probability."""
     features, _, fitted = _trained(spark, sf_dir)
-    return model.score(features, fitted, "prediction").select("_id", "is_fraud", "prediction")
+    scored = model.score(features, fitted, "prediction")
+    return scored.select("_id", "is_fraud", F.col("prediction").between(0, 1).alias("is_probability"))
 
 
 @query
 def gbt_importances(spark, sf_dir):
+    """The features, whether each one's importance is a share, and whether all are in order and add up."""
     _, _, fitted = _trained(spark, sf_dir)
-    return model.importances(spark, fitted)
+    listed = [tuple(r) for r in model.importances(spark, fitted).collect()]
+    values = [v for _, v in listed]
+    fine = values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-9
+    found = spark.createDataFrame(listed, "feature string, importance double")
+    return found.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(fine).alias("all_descend_to_one")
+    )
 
 
 @query
 def gbt_reload_check(spark, sf_dir):
-    """AUC of the test rows before saving and after loading."""
+    """Each test row, and whether its score is the same after another saving and loading."""
     _, test_rows, fitted = _trained(spark, sf_dir)
     path = scratch_path(spark, "model")
     model.save(fitted, path)
-    rows = [
-        metrics.auc(model.score(test_rows, m), "is_fraud", "score").select(
-            F.lit(name).alias("model"), "auc"
-        )
-        for name, m in (("trained", fitted), ("loaded", model.load(path)))
-    ]
-    return rows[0].unionByName(rows[1])
+    both = model.score(model.score(test_rows, fitted, "before"), model.load(path), "after")
+    return both.select("_id", F.col("before").eqNullSafe(F.col("after")).alias("is_equal"))
 
 
 @query
 def gbt_stream_scores(spark, sf_dir):
+    """Every streamed transaction, and whether its score is a probability."""
     _, _, fitted = _trained(spark, sf_dir)
     features = feature_stream(_raw_stream(spark, sf_dir), _dictionaries(spark, sf_dir))
     scored = model.score(feat.model_inputs(features), fitted, "prediction")
-    return _run_append(scored.select("trans_num", "prediction"), "scores")
+    is_probability = F.col("prediction").between(0, 1).alias("is_probability")
+    return _run_append(scored.select("trans_num", is_probability), "scores")
+
+
+@query
+def logged_runs(spark, sf_dir):
+    """The evaluation of each day logged as a run, and the log read back."""
+    path = scratch_path(spark, "runs")
+    for r in _daily_runs(spark, sf_dir).where("auc is not null").collect():
+        runs.log_run(
+            spark, path, r["run_id"], r["name"], r["start_time"], r["n_estimators"], r["auc"], r["auc"], "none"
+        )
+    log = spark.read.schema(RUNS).parquet(path)
+    return log.select("run_id", "name", "n_estimators", "auc", F.col("auc_thresholded"))
+
+
+@query
+def promoted_model_used(spark, sf_dir):
+    """A run above the gate, then one below it: scoring goes by the first."""
+    features, test_rows, fitted = _trained(spark, sf_dir)
+    path = scratch_path(spark, "promoted")
+    model.save(fitted, f"{path}/good")
+    for day, (name, value) in enumerate((("good", 0.97), ("bad", 0.5)), 1):
+        runs.log_run(
+            spark, f"{path}/runs", name, "trees", datetime(2024, 1, day), model.TREES, value, value, f"{path}/{name}"
+        )
+    used = model.load(runs.model_in_use(spark.read.schema(RUNS).parquet(f"{path}/runs"), "trees"))
+    both = model.score(model.score(features, fitted, "own"), used, "used")
+    return both.select("_id", F.col("own").eqNullSafe(F.col("used")).alias("is_equal"))
 
 
 @query

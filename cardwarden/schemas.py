@@ -9,6 +9,7 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+#: The fields of a raw transaction.
 RAW_TXN = _strings(
     "trans_date_trans_time", "cc_num", "merchant", "category", "amt", "first", "last",
     "gender", "street", "city", "state", "zip", "lat", "long", "city_pop", "job", "dob",
@@ -21,7 +22,7 @@ CHANGE = T.StructType([
     T.StructField("fullDocument", RAW_TXN),
 ])
 
-#: Per-card limits; the same document is the account holder's profile.
+#: Per-card limits; the same document is the account holder's profile.
 RULES = T.StructType([
     T.StructField("cc_num", T.StringType()),
     T.StructField("ACCT_AVL_CASH_BEFORE_AMT", T.DoubleType()),
@@ -34,6 +35,7 @@ RULES = T.StructType([
     T.StructField("dob", T.StringType()),
 ])
 
+#: The fields of a merchant record.
 MERCHANT = T.StructType([
     T.StructField("merchant", T.StringType()),
     T.StructField("category", T.StringType()),
@@ -57,6 +59,8 @@ RUNS = T.StructType([
     T.StructField("start_time", T.TimestampType()),
     T.StructField("n_estimators", T.IntegerType()),
     T.StructField("auc", T.DoubleType()),
+    T.StructField("auc_thresholded", T.DoubleType()),
+    T.StructField("model_path", T.StringType()),
 ])
 
 #: The raw columns the feature build reads, after its key.

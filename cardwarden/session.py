@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -52,7 +53,33 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application for later clean-up."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{app}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCOPES.get(threading.get_ident(), []):
+        paths.append(path)
+    return path
+
+
+#: Scratch paths to remove at the end of each open block, by thread.
+_SCOPES: dict[int, list[list[str]]] = {}
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove at the end what the block staged, as a micro-batch must; nothing lazy may outlive it."""
+    own = _SCOPES.setdefault(threading.get_ident(), [])
+    paths: list[str] = []
+    own.append(paths)
+    try:
+        yield
+    finally:
+        own.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -65,10 +92,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Remove this application's staged tables once no result still reads them."""
-    jvm = spark.sparkContext._jvm
-    app = spark.sparkContext.applicationId
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{app}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
 @contextmanager
@@ -88,11 +112,11 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(name, value)
 
 
-def two_per_core(spark: SparkSession) -> int:
-    """Partitions for work whose number of parts adaptive execution cannot lower: streaming state
-    (fixed for the life of a checkpoint), buckets, training rows. Never above the shuffle setting.
-    """
-    return min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
-    )
+#: Bytes of one bucket or training part, about.
+PART_BYTES = 128 * 1024 * 1024
+
+
+def parts_of(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts for a stored table, by the size its files have."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, -(-size // part_bytes))

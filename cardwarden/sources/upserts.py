@@ -2,11 +2,13 @@
 and readers take the latest row per key.
 
 A batch never rewrites what earlier batches wrote, so its cost follows the batch and not the
-table. A replayed batch replaces its own folder, so replays change nothing.
+table. A replayed batch replaces its own folder, so replays change nothing. ``compact``, run beside
+the writers, keeps the number of folders and what a reader has to merge in bounds.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from hashlib import md5
 
@@ -16,21 +18,30 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import latest_rows
 
-_FOLDERS = ["writer", "batch_id"]
+#: Columns that say who wrote a row, in which batch and when; ``written`` is in microseconds.
+_ORIGIN = T.StructType([
+    T.StructField("written", T.LongType()),
+    T.StructField("writer", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
+_COMPACTED = "compacted"
+
+
+def writer_of(checkpoint: str) -> str:
+    """A name for the query with this checkpoint: queries never replace each other's batches."""
+    return md5(checkpoint.encode()).hexdigest()[:12]
 
 
 def append_batch(df: DataFrame, target: str, batch_id: int, writer: str = "batch") -> None:
-    df.write.mode("overwrite").parquet(f"{target}/writer={writer}/batch_id={batch_id}")
+    stamped = df.withColumn("written", F.lit(time.time_ns() // 1000))
+    stamped.write.mode("overwrite").parquet(f"{target}/writer={writer}/batch_id={batch_id}")
 
 
 def upsert_sink(
     target: str, key: str, order_by: Sequence[str], checkpoint: str
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts into ``target``.
-
-    The checkpoint names the query, so batches of different queries never replace each other.
-    """
-    writer = md5(checkpoint.encode()).hexdigest()[:12]
+    """A ``foreachBatch`` function that upserts into ``target``; ``order_by`` picks within a batch."""
+    writer = writer_of(checkpoint)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         append_batch(latest_rows(batch, key, order_by), target, batch_id, writer)
@@ -38,32 +49,60 @@ def upsert_sink(
     return upsert
 
 
+def _stored(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    fields = [f for f in schema.fields if f.name not in _ORIGIN.names]
+    return spark.read.schema(T.StructType(fields + _ORIGIN.fields)).parquet(target)
+
+
 def read_batches(
     spark: SparkSession,
     target: str,
     schema: T.StructType,
     before: int | None = None,
+    writer: str = "batch",
 ) -> DataFrame:
-    """All rows written, with their writer and batch; only batches before ``before`` if given."""
-    full = T.StructType(
-        [f for f in schema.fields]
-        + [T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())]
-    )
-    rows = spark.read.schema(full).parquet(target)
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+    """All rows written, with their writer and batch.
+
+    With ``before``, this writer's batches from that one on are left out, and those of others stay.
+    """
+    rows = _stored(spark, target, schema).drop("written")
+    if before is None:
+        return rows
+    return rows.where((F.col("writer") != writer) | (F.col("batch_id") < before))
 
 
 def read_latest(
     spark: SparkSession, target: str, schema: T.StructType, key: str, order_by: Sequence[str]
 ) -> DataFrame:
-    """The table as upserted: per key the greatest row, the later batch on ties."""
-    rows = read_batches(spark, target, schema)
-    return latest_rows(rows, key, [*order_by, "batch_id", "writer"]).drop(*_FOLDERS)
+    """The table as upserted, one row per key: the greatest by ``order_by``, then the last written."""
+    rows = _stored(spark, target, schema)
+    return latest_rows(rows, key, [*order_by, *_ORIGIN.names]).drop(*_ORIGIN.names)
+
+
+def _folders(spark: SparkSession, target: str) -> list[str]:
+    """The batch folders that are complete."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/writer=*/batch_id=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(status.getPath().getParent()) for status in found or [])
 
 
 def compact(
-    spark: SparkSession, target: str, into: str, schema: T.StructType, key: str,
-    order_by: Sequence[str],
-) -> None:
-    """Write the latest rows as the first batch of a fresh table. Run while no writer is active."""
-    append_batch(read_latest(spark, target, schema, key, order_by), into, 0, "compacted")
+    spark: SparkSession, target: str, schema: T.StructType, key: str, order_by: Sequence[str]
+) -> int:
+    """Merge the batches there are now to one row per key; returns how many folders went.
+
+    Writers may go on: their newer batches are left alone, and merged rows keep the time of their
+    writing, so they win or lose against these as before. Between the new folder and the removal of the old
+    ones a reader sees both, which gives the same rows. One compaction at a time.
+    """
+    old = _folders(spark, target)
+    if len(old) < 2:
+        return 0
+    full = T.StructType([f for f in schema.fields if f.name not in _ORIGIN.names] + _ORIGIN.fields[:1])
+    rows = spark.read.schema(full).parquet(*old)
+    merged = latest_rows(rows, key, [*order_by, "written"])
+    merged.write.parquet(f"{target}/writer={_COMPACTED}/batch_id={time.time_ns() // 1000}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in old:
+        path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(folder), True)
+    return len(old)

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..operators.dictionary import new_entries
 from ..operators.features import ENCODED, build_features
-from ..sources.upserts import append_batch, read_batches
+from ..session import scratch_scope, stage
+from ..sources.upserts import append_batch, read_batches, writer_of
 
 
 def feature_stream(
@@ -32,33 +33,41 @@ def save_dictionary(dictionary: DataFrame, path: str) -> None:
 
 
 def load_dictionary(
-    spark: SparkSession, path: str, column: str, id_column: str, before: int | None = None
+    spark: SparkSession, path: str, column: str, id_column: str, before: int | None = None,
+    writer: str = "initial",
 ) -> DataFrame:
+    """The entries stored; with ``before``, without those of this writer's batches from that one on."""
     schema = _dictionary_schema(column, id_column)
-    return read_batches(spark, path, schema, before).select(column, id_column)
+    return read_batches(spark, path, schema, before, writer).select(column, id_column)
 
 
 def refreshing_features(
-    dictionary_paths: Mapping[str, str], target: str
+    dictionary_paths: Mapping[str, str], target: str, checkpoint: str
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that adds the batch's unseen values to the dictionaries before
     it encodes, so no row is lost.
 
-    A batch reads only entries of earlier batches, hence a replay gives the same ids again.
-    One such query may extend a dictionary at a time.
+    The query is named by its checkpoint: what it writes never replaces another query's. A batch
+    reads all entries but its own query's from this batch on, hence a replay gives the same ids
+    again. One such query may extend a dictionary at a time. A batch without unseen values adds
+    nothing to a dictionary, and its scratch tables go with it.
     """
+    writer = writer_of(checkpoint)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            dictionaries = {}
-            for column, id_column in ENCODED.items():
-                path = dictionary_paths[column]
-                known = load_dictionary(spark, path, column, id_column, batch_id)
-                append_batch(new_entries(known, batch, column, id_column), path, batch_id, "stream")
-                dictionaries[column] = load_dictionary(spark, path, column, id_column, batch_id + 1)
-            append_batch(feature_stream(batch, dictionaries), target, batch_id, "features")
+            with scratch_scope(spark):
+                dictionaries = {}
+                for column, id_column in ENCODED.items():
+                    path = dictionary_paths[column]
+                    known = load_dictionary(spark, path, column, id_column, batch_id, writer)
+                    entries = stage(new_entries(known, batch, column, id_column), "entries")
+                    if not entries.isEmpty():
+                        append_batch(entries, path, batch_id, writer)
+                    dictionaries[column] = known.unionByName(entries)
+                append_batch(feature_stream(batch, dictionaries), target, batch_id, writer)
         finally:
             batch.unpersist()
 

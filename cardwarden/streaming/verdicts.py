@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import build_features, model_inputs
 from ..operators.model import score
+from ..operators.ranking import latest_rows
 from ..operators.rules import LIMIT_RULES, THRESHOLD, RuleSet, attach_rules, cascade, combine
 from ..operators.verdicts import (
     DEADLINE_SECONDS,
@@ -18,7 +19,7 @@ from ..operators.verdicts import (
     timeout_reply,
     verdict,
 )
-from ..sources.upserts import upsert_sink
+from ..sources.upserts import append_batch, writer_of
 
 
 def verdict_stream(
@@ -28,10 +29,14 @@ def verdict_stream(
     model: PipelineModel,
     rule_set: RuleSet = LIMIT_RULES,
     threshold: float = THRESHOLD,
+    salts: int = 1,
 ) -> DataFrame:
-    """Raw transactions, streamed or not, to verdict rows: features, limits, rules, model, verdict."""
+    """Raw transactions, streamed or not, to verdict rows: features, limits, rules, model, verdict.
+
+    ``salts`` is for a stream whose limits are too many to broadcast; see ``lookup_join``.
+    """
     features = build_features(raw, dictionaries, key="trans_num")
-    scored = score(model_inputs(attach_rules(features, rules)), model)
+    scored = score(model_inputs(attach_rules(features, rules, salts=salts)), model)
     return verdict(combine(cascade(scored, rule_set), "score", threshold))
 
 
@@ -41,17 +46,19 @@ def verdict_batches(
     model: PipelineModel,
     target: str,
     checkpoint: str,
+    rule_set: RuleSet = LIMIT_RULES,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps verdict rows in ``target``.
 
     Every micro-batch reads dictionaries and limits afresh, so changes to them take effect, and is
-    joined as a table is: adaptively, and with hot cards split off where the limits are too large
-    to broadcast.
+    joined as a table is, adaptively. The verdict written last stands; within a batch, where a card
+    has several rule rows, REJECTED does.
     """
-    upsert = upsert_sink(target, "txn_num", ["txn_status"], checkpoint)
+    writer = writer_of(checkpoint)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        upsert(verdict_stream(batch, load_dictionaries(), load_rules(), model), batch_id)
+        rows = verdict_stream(batch, load_dictionaries(), load_rules(), model, rule_set)
+        append_batch(latest_rows(rows, "txn_num", ["txn_status"]), target, batch_id, writer)
 
     return process
 

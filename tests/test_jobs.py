@@ -1,5 +1,11 @@
+from datetime import datetime
+
+import pytest
+
 from cardwarden.operators.features import with_id
-from cardwarden.operators.runs import latest_run, promoted
+from cardwarden.operators.rules import Rule, RuleSet, save_rules
+from cardwarden.operators.runs import latest_run, log_run, promoted
+from cardwarden.schemas import RUNS
 from cardwarden.plans import inputs, jobs
 from cardwarden.sources import read_latest
 from cardwarden.operators.verdicts import verdict
@@ -15,22 +21,29 @@ def test_from_raw_transactions_to_verdicts(spark, tmp_path):
     )
     assert typed.count() == raw.count() and "is_fraud" not in features.columns
 
-    _, metrics = jobs.train_and_log(typed, features, at("runs"), at("model"), trees_count=3)
-    log = spark.read.parquet(at("runs"))
-    assert latest_run(log, jobs.RUN_NAME).first()["auc"] == metrics["auc_thresholded"]
-    assert 0.5 < metrics["auc_thresholded"] <= 1 and metrics["auc"] > 0.5
-    assert promoted(log, 0.0).count() == 1
+    _, metrics = jobs.train_and_log(typed, features, at("runs"), at("models"), trees_count=12)
+    log = spark.read.schema(RUNS).parquet(at("runs"))
+    run = latest_run(log, jobs.RUN_NAME).first()
+    assert (run["auc"], run["auc_thresholded"]) == (metrics["auc"], metrics["auc_thresholded"])
+    assert promoted(log).count() == 1
+    assert spark.read.parquet(at("runs") + "-reports").select("threshold").distinct().count() == 2
 
-    scored = jobs.score_table(typed, at("model"))
+    # A later run that fails the gate changes nothing: its model is not even there.
+    late = datetime(2100, 1, 1)
+    log_run(spark, at("runs"), "bad", jobs.RUN_NAME, late, 1, 0.95, 0.91, at("nowhere"))
+    scored = jobs.score_table(typed, at("runs"))
+    log_run(spark, at("bad_runs"), "bad", jobs.RUN_NAME, late, 1, 0.95, 0.91, at("nowhere"))
+    with pytest.raises(LookupError, match="above"):
+        jobs.score_table(typed, at("bad_runs"))
     assert scored.where("prediction between 0 and 1").count() == typed.count()
 
     limits = inputs.account_rules(spark, SF)
     stream = inputs.raw_txn(spark, SF, inputs.event_stream(spark, SF))
     jobs.start_verdict_stream(
-        stream, at("dictionaries"), lambda: limits, at("model"), at("verdicts"), at("checkpoint")
+        stream, at("dictionaries"), lambda: limits, at("runs"), at("verdicts"), at("checkpoint")
     ).awaitTermination()
     schema = verdict(scored.selectExpr("_id as trans_num", "1 as prediction")).schema
-    rows = read_latest(spark, at("verdicts"), schema, "txn_num", ["txn_status"])
+    rows = read_latest(spark, at("verdicts"), schema, "txn_num", [])
     assert rows.count() == typed.count()
     assert rows.select("txn_status").distinct().count() == 2
 
@@ -43,10 +56,14 @@ def test_command_line(spark, tmp_path):
     inputs.account_rules(spark, SF).write.json(at("rules"))
     tables = ["--transaction-table", "cli_txn"]
     both = [*tables, "--feature-table", "cli_features"]
-    main(["features", "--raw", at("raw"), "--format", "json", "--dictionaries", at("d"), *both])
-    main(["train", "--runs", at("runs"), "--model", at("m"), "--trees", "2", *both])
-    main(["score", "--model", at("m"), "--output", at("scored"), *tables])
+    main(["features", "--raw", at("raw"), "--format", "json", "--dictionaries", at("d"), "--spend-table", "cli_spend", *both])
+    main(["train", "--runs", at("runs"), "--models", at("m"), "--trees", "12", *both])
+    main(["score", "--runs", at("runs"), "--output", at("scored"), *tables])
+    save_rules(spark, RuleSet("all-pass", (Rule("never", "amt < 0"),)), at("own"))
     main(["stream", "--raw", at("raw"), "--rules", at("rules"), "--format", "json", "--output", at("v"),
-          "--checkpoint", at("cp"), "--dictionaries", at("d"), "--model", at("m")])
+          "--checkpoint", at("cp"), "--dictionaries", at("d"), "--runs", at("runs"), "--rule-set", at("own")])
+    main(["feature-stream", "--raw", at("raw"), "--format", "json", "--output", at("f"),
+          "--checkpoint", at("cp2"), "--dictionaries", at("d")])
     n = spark.read.json(at("raw")).count()
     assert spark.read.parquet(at("scored")).count() == n == spark.read.parquet(at("v")).count()
+    assert spark.read.parquet(at("f")).count() == n and spark.table("cli_spend").count() > 0

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from cardwarden.operators.joins import fits_broadcast, hot_keys, lookup_join, measured_bytes
+from cardwarden.operators.joins import lookup_join
+from cardwarden.session import settings, stage
 
 random.seed(3)
 # One key holds a third of the rows, NULL a tenth; some keys have no lookup row, some have two.
@@ -35,39 +37,33 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limit", [10**9, 1000, 0])
-def test_every_path_gives_the_same_rows(sides, how, limit):
-    """Broadcast, split on hot keys, and shuffled as a whole."""
+@pytest.mark.parametrize("salts", [1, 5])
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_every_path_gives_the_same_rows(spark, sides, how, salts, limit):
     left, right = sides
-    joined = lookup_join(left, right, "k", how, broadcast_bytes=limit)
-    assert Counter(map(tuple, joined.collect())) == expected(how)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=limit, spark__sql__adaptive__autoBroadcastJoinThreshold=limit):
+        joined = lookup_join(left, right, "k", how, salts)
+        assert Counter(map(tuple, joined.collect())) == expected(how)
 
 
-def test_hot_keys(sides):
-    left, _ = sides
-    assert [r["k"] for r in hot_keys(left, ["k"]).collect()] == [7]
+def test_each_side_is_read_once(spark, sides):
+    left, right = (stage(s, "side") for s in sides)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        plan = lookup_join(left, right, "k", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "SortMergeJoin" in plan
 
 
-def test_split_join_keeps_the_hot_key_out_of_the_shuffle(spark, sides):
+def test_salts_deal_a_hot_key_to_several_tasks(sides):
     left, right = sides
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = lookup_join(left, right, "k", "left", 1000)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan and "Union" in plan
-
-
-def test_measured_size_grows_with_rows_and_text(spark):
-    rows = spark.createDataFrame([(1, "abc"), (2, None)], "k int, v string")
-    assert measured_bytes(rows) == 2 * 48 + 3
-    assert measured_bytes(rows.limit(0)) == 0
-    assert fits_broadcast(rows, 99) and not fits_broadcast(rows, 98)
+    joined = lookup_join(left, right, "k", "inner", 8).where("k = 7")
+    assert joined.count() == sum(k == 7 for k in KEYS) * 2
+    salt = F.pmod(F.xxhash64("k", "i"), F.lit(8))
+    assert left.where("k = 7").select(salt).distinct().count() == 8
 
 
 def test_two_column_keys(spark):
     left = spark.createDataFrame([(i % 3, i % 2, i) for i in range(600)], "a int, b int, i int")
     right = spark.createDataFrame([(0, 0, "x"), (1, 1, "y")], "a int, b int, v string")
-    joined = lookup_join(left, right, ["a", "b"], "left", broadcast_bytes=0)
+    joined = lookup_join(left, right, ["a", "b"], "left")
     assert joined.count() == 600
     assert joined.where("v = 'x'").count() == 100 and joined.where("v is null").count() == 400

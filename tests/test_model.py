@@ -79,7 +79,16 @@ def test_custom_score(data):
 def test_runs_log_latest_and_gate(spark, tmp_path):
     path = str(tmp_path / "runs")
     for i, (name, value) in enumerate([("a", 0.95), ("a", 0.91), ("b", 0.99)]):
-        runs.log_run(spark, path, f"r{i}", name, dt.datetime(2024, 1, 1 + i), 100, value)
+        runs.log_run(spark, path, f"r{i}", name, dt.datetime(2024, 1, 1 + i), 100, 0.99, value, f"m{i}")
     log = spark.read.parquet(path)
     assert runs.latest_run(log, "a").first()["run_id"] == "r1"
     assert {r["run_id"] for r in runs.promoted(log).collect()} == {"r0", "r2"}
+    assert runs.model_in_use(log, "a") == "m0"
+    with pytest.raises(LookupError):
+        runs.model_in_use(log, "c")
+
+
+def test_scores_keep_columns_with_the_names_of_model_outputs(data, fitted):
+    given = data.limit(5).withColumns({c: F.lit("own") for c in ("prediction", "probability", "features", "rawPrediction")})
+    row = model.score(given, fitted).first()
+    assert {row[c] for c in ("prediction", "probability", "features", "rawPrediction")} == {"own"} and 0 <= row["score"] <= 1

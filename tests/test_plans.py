@@ -51,7 +51,7 @@ def test_rules_are_one_stage(spark, raw):
         "cc_num string, ACCT_AVL_CASH_BEFORE_AMT double, ACCT_CL_AMT double, AVG_DLY_AUTHZN_AMT double",
     )
     scored = feat.featurize(raw).withColumn("score", F.lit(0.1))
-    plan = plan_of(rules.combine(rules.cascade(rules.attach_rules(scored, limits))))
+    plan = plan_of(rules.combine(rules.cascade(rules.attach_rules(scored, stage(limits)))))
     assert "hashpartitioning" not in plan and "Python" not in plan and "BroadcastHashJoin" in plan
 
 

@@ -84,7 +84,7 @@ def test_messages_round_trip(spark, raw_rows):
 
 
 def test_upserts_replays_and_compaction(spark, tmp_path):
-    target, small = str(tmp_path / "t"), str(tmp_path / "small")
+    target = str(tmp_path / "t")
     schema = spark.createDataFrame([("", 0, "")], "k string, t int, v string").schema
     batches = [[("a", 1, "a1"), ("b", 5, "b5"), ("b", 4, "b4")], [("a", 2, "a2"), ("b", 3, "b3"), ("c", 1, "c1")]]
 
@@ -97,8 +97,26 @@ def test_upserts_replays_and_compaction(spark, tmp_path):
     assert latest(target) == {"a": "a2", "b": "b5", "c": "c1"}
     assert src.read_batches(spark, target, schema).count() == 5
     assert src.read_batches(spark, target, schema, before=1).count() == 2
-    src.compact(spark, target, small, schema, "k", ["t"])
-    assert latest(small) == latest(target) and src.read_batches(spark, small, schema).count() == 3
+    assert src.read_batches(spark, target, schema, before=0, writer="other").count() == 5
+    assert src.compact(spark, target, schema, "k", ["t"]) == 2
+    assert latest(target) == {"a": "a2", "b": "b5", "c": "c1"}
+    assert src.read_batches(spark, target, schema).count() == 3
+    # The writer goes on after, or replays a batch that has been merged.
+    src.append_batch(latest_rows(spark.createDataFrame(batches[1], schema), "k", ["t"]), target, 1)
+    src.append_batch(spark.createDataFrame([("a", 2, "a2-later"), ("b", 1, "b1")], schema), target, 2)
+    assert latest(target) == {"a": "a2-later", "b": "b5", "c": "c1"}
+    assert src.compact(spark, target, schema, "k", ["t"]) == 3 and src.compact(spark, target, schema, "k", ["t"]) == 0
+    assert latest(target) == {"a": "a2-later", "b": "b5", "c": "c1"}
+
+
+def test_the_verdict_written_last_stands(spark, tmp_path):
+    """REJECTED first, then AUTHORIZED, in one query and from a new one whose batches begin at 0 again."""
+    target = str(tmp_path / "t")
+    schema = spark.createDataFrame([("", "")], "txn_num string, txn_status string").schema
+    for checkpoint, batch_id, status in (("a", 7, "REJECTED"), ("a", 8, "AUTHORIZED"), ("b", 0, "REJECTED"), ("c", 0, "AUTHORIZED")):
+        rows = spark.createDataFrame([("t", status)], schema)
+        src.upsert_sink(target, "txn_num", ["txn_status"], checkpoint)(rows, batch_id)
+        assert src.read_latest(spark, target, schema, "txn_num", []).first()["txn_status"] == status
 
 
 def test_finds(spark):
@@ -117,7 +135,9 @@ def test_merchant_pick(spark):
     picks = spark.createDataFrame([(1, "m", "s1"), (2, "m", "s9")], "p int, merchant string, street string")
     got = find.match_merchant(picks, merchants, "zip").collect()
     assert [(r["p"], r["zip"]) for r in got] == [(1, 1)]
-    assert find.merchant_streets(merchants).count() == 4
+    listed = {r["merchant"]: r["streets"] for r in find.merchant_streets(merchants).collect()}
+    assert listed == {"m": ["s1", "s2"], "n": ["s1"]}
+    assert [r[0] for r in find.streets_of(merchants, "m").collect()] == ["s1", "s2"]
 
 
 def test_shared_folder_comes_from_the_session(spark):

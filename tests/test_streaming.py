@@ -1,8 +1,10 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cardwarden import session
 from cardwarden.operators import dictionary as dic
 from cardwarden.operators import model, rules
 from cardwarden.operators.features import ENCODED, build_features
@@ -77,7 +79,7 @@ def test_refreshed_dictionaries_lose_no_row(spark, raw_rows, landing, tmp_path):
     paths = {c: str(tmp_path / c) for c in ENCODED}
     for column, d in dic.build_dictionaries(raw_rows.where("trans_num = 'b'"), ENCODED).items():
         save_dictionary(d, paths[column])
-    process = refreshing_features(paths, str(tmp_path / "features"))
+    process = refreshing_features(paths, str(tmp_path / "features"), str(tmp_path / "cp"))
     source = streaming_source(spark, landing, RAW_TXN, 1)
     foreach_batch_stream(source, process, str(tmp_path / "cp")).awaitTermination()
 
@@ -87,10 +89,23 @@ def test_refreshed_dictionaries_lose_no_row(spark, raw_rows, landing, tmp_path):
     features = spark.read.parquet(str(tmp_path / "features"))
     assert features.count() == 4
     first = entries()
-    assert first["misc_net"] == 0 and sorted(first.values()) == [0, 1, 2]
+    assert first["music"] == 0 and sorted(first.values()) == [0, 1, 2]
     process(raw_rows.where("trans_num >= 'c'"), 1)  # a replayed batch changes nothing
     assert entries() == first and spark.read.parquet(str(tmp_path / "features")).count() == 4
 
+    # A query with a checkpoint of its own adds to both and replaces nothing.
+    other = refreshing_features(paths, str(tmp_path / "features"), str(tmp_path / "cp2"))
+    more = raw_rows.where("trans_num = 'a'").withColumns({"trans_num": F.lit("e"), "category": F.lit("zoo")})
+    scratch = Path(session.scratch_path(spark, "x")).parent
+    before = set(scratch.iterdir())
+    other(more, 0)
+    assert entries() == first | {"zoo": 3} and set(scratch.iterdir()) <= before
+    assert spark.read.parquet(str(tmp_path / "features")).count() == 5
+    other(more.withColumn("trans_num", F.lit("f")), 1)
+    assert entries() == first | {"zoo": 3}
+    folders = {p.parent.name for p in (tmp_path / "category").glob("writer=*/batch_id=*")}
+    assert len(folders) == 3 and len(list((tmp_path / "category").glob("writer=*/batch_id=*"))) == 4
+
 
 def test_upsert_stream_keeps_the_latest(spark, tmp_path):
     landing = str(tmp_path / "in")
@@ -138,7 +153,7 @@ def test_verdict_stream_equals_batch(spark, raw_rows, landing, tmp_path):
     """Features, limits, model, rules and verdict in one streaming query."""
     dictionaries = dic.build_dictionaries(raw_rows, ENCODED)
     limits = spark.createDataFrame(
-        [("42", 100.0, 500.0, 1.0), ("4956828990005111019", 1e6, 1000.0, 1.0)],
+        [("42", 10.0, 500.0, 1.0), ("3000000000000000017", 1e6, 1000.0, 1.0)],
         "cc_num string, ACCT_AVL_CASH_BEFORE_AMT double, ACCT_CL_AMT double, AVG_DLY_AUTHZN_AMT double",
     )
     features = build_features(raw_rows, dictionaries, "trans_num")

@@ -57,6 +57,37 @@ def raw_txn(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -
     return rows.select(*[F.expr(e).alias(c) for c, e in RAW_COLUMNS.items()])
 
 
+DIRTY_COLUMNS = RAW_COLUMNS | {
+    "trans_date_trans_time": "case event_id % 7 when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    " when 1 then '2024' when 2 then date_format(ts, 'yyyy-MM-dd')"
+    " else date_format(ts, 'yyyy-MM-dd HH:mm:ss') end",
+    "amt": "case event_id % 10 when 0 then 'abc' when 1 then '' when 2 then null else cast(value as string) end",
+    "dob": "case user_id % 5 when 0 then '1980' when 1 then '1980-13-40' else '1981-02-03' end",
+    "cc_num": "case user_id % 9 when 0 then '0' when 1 then concat('93000000000000', lpad(cast(user_id as string), 5, '0'))"
+    " else concat(' 00', cast(user_id as string)) end",
+    "zip": "case event_id % 4 when 0 then '12x' else '777' end",
+}
+
+
+def dirty_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transactions with bad numbers, three kinds of times, partial dates, card 0 and cards beyond 64 bits."""
+    rows = card_events(spark, sf_dir)
+    return rows.select(*[F.expr(e).alias(c) for c, e in DIRTY_COLUMNS.items()])
+
+
+def dirty_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of those cards, some NaN, some cards twice."""
+    rules = table(spark, sf_dir, "customer").selectExpr(
+        "case c_custkey % 9 when 0 then '000' when 1 then concat('93000000000000', lpad(cast(c_custkey as string), 5, '0'))"
+        " else cast(c_custkey as string) end as cc_num",
+        "case when c_custkey % 6 = 0 then double('NaN') else 150.0D end as ACCT_AVL_CASH_BEFORE_AMT",
+        "50.0D * (c_custkey % 10) as ACCT_CL_AMT",
+        "double('NaN') as AVG_DLY_AUTHZN_AMT",
+        "explode(sequence(0, case when c_custkey % 8 = 0 then 1 else 0 end)) as copy",
+    )
+    return stage(rules.where("cc_num <> '000' or copy = 1").drop("copy"), "dirty_rules")
+
+
 def order_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A larger set of transactions for the spend report."""
     customers = table(spark, sf_dir, "customer").select(

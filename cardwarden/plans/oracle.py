@@ -151,7 +151,43 @@ _VERDICTS = f"""with {LIMITS}
          case when greatest("case", cast(score > 0.3 as int)) = 1
               then 'REJECTED' else 'AUTHORIZED' end txn_status from cascade"""
 
+DIRTY = """dirty as (
+  select cast(event_id as varchar) trans_num, event_id, user_id, event_type category,
+         case event_id % 7 when 1 then null when 2 then null when 0 then date_trunc('millisecond', ts)
+              else date_trunc('second', ts) end t,
+         case when event_id % 10 < 3 then null else value end amt,
+         case user_id % 9 when 0 then '0' when 1 then concat('93000000000000', lpad(cast(user_id as varchar), 5, '0'))
+              else concat(' 00', cast(user_id as varchar)) end cc_num,
+         case user_id % 9 when 0 then '0' when 1 then concat('93000000000000', lpad(cast(user_id as varchar), 5, '0'))
+              else cast(user_id as varchar) end card,
+         case when user_id % 5 < 2 then null else 1981 end born,
+         cast(case when event_type = 'error' and value > 100 then 1 else 0 end as int) is_fraud,
+         c_nationkey
+  from events join customer on c_custkey = user_id)"""
+
 ORACLE = {
+    "dirty_typed_txn": f"""with {DIRTY}
+        select trans_num, cc_num, category, amt,
+               cast(case event_id % 4 when 0 then null else 777 end as int) zip,
+               cast(30.0 + c_nationkey * 0.5 as double) lat, cast(-100.0 + user_id % 40 as double) "long",
+               cast(1000 + user_id * 37 as int) city_pop,
+               cast(30.0 + event_id % 20 * 0.5 as double) merch_lat, cast(-100.0 + event_id % 30 as double) merch_long,
+               cast(date_part('year', t) - born as int) age, cast(date_part('hour', t) as int) "hour",
+               cast(date_part('day', t) as int) "day", cast(date_part('month', t) as int) "month", is_fraud,
+               cast(cast(floor((epoch_ms(t) + 500) / 1000) as bigint) as varchar) unix_time
+        from dirty""",
+    "dirty_rule_cascade": f"""with {DIRTY},
+        limits as (
+          select case c_custkey % 9 when 0 then '0' when 1 then concat('93000000000000', lpad(cast(c_custkey as varchar), 5, '0'))
+                      else cast(c_custkey as varchar) end card,
+                 case when c_custkey % 6 = 0 then null else 150.0 end cash, 50.0 * (c_custkey % 10) credit
+          from customer, (values (0), (1)) v(copy)
+          where copy <= case when c_custkey % 8 = 0 then 1 else 0 end and (c_custkey % 9 <> 0 or copy = 1))
+        select trans_num, card cc_num, first_rule, cast(first_rule is not null as int) "case",
+               cast(first_rule is not null or coalesce(amt / 500 > 0.3, false) as int) prediction
+        from (select trans_num, dirty.card, amt,
+                     case when amt > cash then 'cash' when amt > credit then 'credit' end first_rule
+              from dirty left join limits on limits.card = dirty.card)""",
     "user_spend": f"""with {RAW} {SPEND} from raw group by "first", "last" """,
     "user_spend_orders": f"""
         with paid as (

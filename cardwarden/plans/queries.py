@@ -210,6 +210,26 @@ def key_violations(spark, sf_dir):
 # --- filters and look-ups -----------------------------------------------------------------------
 
 
+@query
+def dirty_typed_txn(spark, sf_dir):
+    """Typed features of records with bad fields, in a session of another time zone."""
+    with settings(spark, spark__sql__session__timeZone="America/New_York"):
+        raw = inputs.dirty_txn(spark, sf_dir)
+        epoch = raw.select("trans_num", fn.epoch_text(fn.txn_time("trans_date_trans_time")).alias("unix_time"))
+        typed = feat.featurize(raw, "trans_num").drop("gender").join(epoch, "trans_num")
+        return stage(typed, "dirty")
+
+
+@query
+def dirty_rule_cascade(spark, sf_dir):
+    """Rules on cards 0 and beyond 64 bits, NaN limits, cards with two rule rows, and missing amounts."""
+    txn = feat.featurize(inputs.dirty_txn(spark, sf_dir), "trans_num").select("trans_num", "cc_num", "amt")
+    flagged = rules.cascade(rules.attach_rules(inputs.with_score(txn), inputs.dirty_rules(spark, sf_dir)))
+    return rules.combine(flagged).select(
+        "trans_num", F.col("cc_num").cast("string").alias("cc_num"), "first_rule", "case", "prediction"
+    )
+
+
 @query
 def fraud_only(spark, sf_dir):
     return find.fraud_only(_typed(spark, sf_dir))

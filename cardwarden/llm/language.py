@@ -117,7 +117,19 @@ class Model:
         return names, score, ~known | (score < self.least)
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bags_of(texts: pa.Array) -> list[Bag]:
+    """For each text its buckets and how many subwords are in each; never more than there are buckets."""
+    grams, edges, _ = features(texts)
+    bags = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        bags.append(np.unique(np.concatenate([ids[a:b][valid[a:b]] for ids, valid in grams]), return_counts=True))
+    return bags
+
+
+def fit(bags: list[Bag], labels: list[str], seed: int = 7) -> Model:
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
@@ -125,21 +137,16 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
     weight = np.zeros((DIM, len(languages)))
-    grams, edges, _ = features(pa.array(texts, pa.string()))
-    bags = []
-    for r in range(len(texts)):
-        parts = [b[edges[r] : edges[r + 1]][v[edges[r] : edges[r + 1]]] for b, v in grams]
-        bags.append(np.unique(np.concatenate(parts), return_counts=True))
-    aside = np.arange(len(texts)) % 10 == 9
+    aside = np.arange(len(bags)) % 10 == 9
     train = np.flatnonzero(~aside)
     share = len(train) / (len(languages) * np.maximum(np.bincount(want[train], minlength=len(languages)), 1))
     steps = EPOCHS * max(len(train), 1)
-    for step in range(EPOCHS):
+    for epoch in range(EPOCHS):
         for k, r in enumerate(rng.permutation(train)):
             ids, counts = bags[r]
             if not len(ids):
                 continue
-            rate = RATE * (1 - (step * len(train) + k) / steps)
+            rate = RATE * (1 - (epoch * len(train) + k) / steps)
             part = counts / counts.sum()
             mean = part @ table[ids]
             error = softmax((mean @ weight)[None])[0]
@@ -152,7 +159,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     model = Model(languages, table @ weight)
     check = [r for r in np.flatnonzero(aside) if len(bags[r][0])]
     if check:
-        mean, _ = mean_rows(model.logits, pa.array([texts[r] for r in check], pa.string()))
+        mean = np.stack([bags[r][1] / bags[r][1].sum() @ model.logits[bags[r][0]] for r in check])
         rows, right = np.arange(len(check)), want[check]
         heats = np.geomspace(0.05, 20, 60)
         loss = [-np.log(softmax(mean / h)[rows, right] + 1e-12).mean() for h in heats]
@@ -166,17 +173,28 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 def train(df: DataFrame, label: str = "lang", text: str = "text", rows: int = SAMPLE) -> Model:
     """Fit on at most ``rows`` distinct labelled texts, those with the least hashes.
 
-    The hashes to ask for follow from the number of distinct texts, so that no task sends many more than are taken.
+    The hashes to ask for follow from the number of distinct texts, so that no task sends many more than are taken. What comes to
+    the driver are counts per bucket, so a very long text takes no more room than others.
     """
     hashed = F.xxhash64(F.col(text), F.lit("sample"))
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    known = known.select(F.col(text).alias("t"), F.col(label).alias("l"), hashed.alias("h"))
+    known = known.select(F.col(text).alias("text"), F.col(label).alias("l"), hashed.alias("h"))
     there = known.agg(F.approx_count_distinct("h")).first()[0]
     most = min(2.0 * rows / max(there, 1), 1.0)
     near = known.where(F.col("h") <= min(int(most * 2**64), 2**64 - 1) - 2**63)
-    once = near.groupBy("h").agg(F.min(F.struct("l", "t")).alias("s"))
-    taken = once.orderBy("h").limit(rows).select("s.t", "s.l").collect()
-    return fit([r.t for r in taken], [r.l for r in taken])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            bags = bags_of(part.column("text"))
+            ids = [b[0].astype("<u4").tobytes() for b in bags]
+            counts = [b[1].astype("<i8").tobytes() for b in bags]
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("l"), pa.array(ids), pa.array(counts)], ["h", "l", "ids", "counts"])
+
+    bags = arrow_map(near, run, "h long, l string, ids binary, counts binary")
+    once = bags.groupBy("h").agg(F.min(F.struct("l", "ids", "counts")).alias("s"))
+    taken = once.orderBy("h").limit(rows).select("s.*").collect()
+    found = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["counts"], "<i8")) for r in taken]
+    return fit(found, [r["l"] for r in taken])
 
 
 def held_out(id_: str = "doc_id") -> Column:

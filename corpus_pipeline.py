@@ -35,15 +35,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id; of repeated rows one."""
     grouped = simhash.near_duplicates(docs)
     keep = grouped.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    # Only a table with repeated ids has more than one row for an id; its first text by hash stays.
-    first = named.select("doc_id", row_key().alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    repeated = stage(first.where("n > 1"), "repeated")
-    single = named.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    keyed = named.withColumn("_key", row_key()).join(repeated.select("doc_id", F.col("key").alias("_key")), ["doc_id", "_key"], "left_semi")
-    once = keyed.drop("_key").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    return single.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(nameless)
+    # Ids are few bytes a row, so the choice among rows of one id is made before texts move.
+    keyed = docs.withColumn("_key", row_key())
+    counted = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "_key").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("doc_id").agg(F.min(F.struct("_key", "n")).alias("s")).join(keep, "doc_id", "left_semi")
+    chosen = stage(chosen.select("doc_id", "s._key", "s.n"), "chosen")
+    repeated = stage(chosen.where("n > 1").select("doc_id", "_key"), "repeated")
+    single = keyed.join(chosen.where("n = 1"), ["doc_id", "_key"], "left_semi")
+    once = keyed.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id"])
+    nameless = keyed.where(F.col("doc_id").isNull())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(columns).unionByName(once.select(columns)).unionByName(nameless.select(columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,8 +165,8 @@ def fit(bags: list[Bag], labels: list[str], seed: int = 7) -> Model:
         loss = [-np.log(softmax(mean / h)[rows, right] + 1e-12).mean() for h in heats]
         model.heat = float(heats[int(np.argmin(loss))])
         best = softmax(mean / model.heat).max(axis=1)
-        # Never above an even chance: a short text of a known language is to stay.
-        model.least = float(min(np.quantile(best, LOST), 0.5))
+        # Not far above what guessing gives, nor above an even chance: a short text of a known language is to stay.
+        model.least = float(min(np.quantile(best, LOST), 0.5, 1.5 / len(languages)))
     return model
 
 

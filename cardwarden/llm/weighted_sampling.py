@@ -33,24 +33,35 @@ _LOWER[65:91] += 32
 FIRST_ID = -(1 << 63)
 
 
-def _uniform(state: np.ndarray, n: int) -> np.ndarray:
-    """Values inside (0, 1), a different draw for each ``n``."""
-    high = _mix(state + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)
-    return (high.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+#: Samples drawn in one vector step, so that its arrays stay in the processor's cache.
+COLUMNS = 8
+_MASK = np.uint64((1 << 24) - 1)
+
+
+def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
+    """24 of the bits as values inside (0, 1)."""
+    return ((bits >> np.uint64(shift) & _MASK).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
 
 
 def sample_values(terms: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     """For each weighted term (a row) and sample: the value in the upper half, the sample's identity in the lower."""
-    state = _mix(terms[:, None] ^ (np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-    scale = -np.log(_uniform(state, 1) * _uniform(state, 2))
-    value = np.log(-np.log(_uniform(state, 3) * _uniform(state, 4)))
-    offset = _uniform(state, 5)
-    step = np.floor(np.log(weights.astype(np.float32))[:, None] / scale + offset)
-    value -= scale * (step - offset) + scale
-    bits = np.ascontiguousarray(value).view(np.uint32)
-    ordered = np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    identity = _mix(terms[:, None] + step.astype(np.int64).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return ordered << np.uint64(32) | identity & np.uint64(0xFFFFFFFF)
+    out = np.empty((len(terms), samples), np.uint64)
+    logs = np.log(weights.astype(np.float32))[:, None]
+    for at in range(0, samples, COLUMNS):
+        column = np.arange(at + 1, min(at + COLUMNS, samples) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        first = _mix(terms[:, None] ^ column)
+        second = _mix(first + np.uint64(0x9E3779B97F4A7C15))
+        third = _mix(second + np.uint64(0x9E3779B97F4A7C15))
+        scale = -np.log(_uniform(first, 40) * _uniform(first, 16))
+        value = np.log(-np.log(_uniform(second, 40) * _uniform(second, 16)))
+        offset = _uniform(third, 40)
+        step = np.floor(logs / scale + offset)
+        value -= scale * (step - offset) + scale
+        bits = value.view(np.uint32)
+        ordered = np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
+        identity = (third ^ step.astype(np.int64).view(np.uint64)) * np.uint64(0xA24BAED4963EE407) >> np.uint64(32)
+        out[:, at : at + COLUMNS] = ordered << np.uint64(32) | identity
+    return out
 
 
 def signatures(texts: list[str | None], samples: int = SAMPLES) -> np.ndarray:
@@ -138,7 +149,8 @@ def fingerprint_rows(df: DataFrame, id_: str = "doc_id", text: str = "text", sam
             if not pairs:
                 continue
             changed = [edited(texts[i], texts[i + 1]) for i in pairs]
-            plain, other = signatures(texts, samples), signatures(changed, samples)
+            both = signatures(texts + changed, samples)
+            plain, other = both[: len(texts)], both[len(texts) :]
             own, then = plain[pairs], plain[[i + 1 for i in pairs]]
             show = lambda prints: [p.astype(">u2").tobytes().hex() for p in prints]
             yield pa.RecordBatch.from_pydict({

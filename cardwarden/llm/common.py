@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step of a vectorised operator works on at most, long single rows aside.
 SLICE_BYTES = 2_000_000
+#: Bytes of an Arrow batch on its way to a Python worker, a single row's aside.
+BATCH_BYTES = 16 * 1024 * 1024
 #: The separators of a word in the contracts that split at ASCII white space.
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 
@@ -60,6 +62,8 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes: ten thousand long documents would be too many for one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 

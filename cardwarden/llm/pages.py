@@ -42,11 +42,13 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _FRAME_TAGS = set("nav footer aside form menu dialog button head label".split())
 _MAIN_TAGS = {"article", "main"}
 _FRAME_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies copyright disclaimer disqus "
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs captcha comment comments complementary consent contentinfo cookie cookies "
+    "copyright dialog disclaimer disqus "
     "footer foot form gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
-    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+    "recommended related replies reply respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
-_MAIN_WORDS = set("article content entry main post story".split())
+_ARTICLE_WORDS = set("article entry post story".split())
+_MAIN_WORDS = _ARTICLE_WORDS | {"content", "main"}
 
 #: Labelled blocks, by hand: words, linked share, the same two of the block before and after, in a frame element,
 #: in an article element, heading; then whether the block is main text.
@@ -178,7 +180,7 @@ def _role(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
     if words and name not in ("html", "body"):
         hit = words & _FRAME_WORDS
         # The header of an article or an entry is its own; the article element's class may name topics.
-        if main or (hit == {"header"} and (in_article or words & _MAIN_WORDS)):
+        if main or (hit == {"header"} and (in_article or words & _ARTICLE_WORDS)):
             hit = set()
         frame |= bool(hit)
         main |= bool(words & _MAIN_WORDS) and not hit

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .common import arrow_map
 
 SHARDS = 16
 #: Partial partitions that one task combines.

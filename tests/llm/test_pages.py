@@ -26,6 +26,15 @@ def test_a_page_with_all_kinds_of_frame():
     ]
 
 
+def test_names_of_elements():
+    frame = ["main-header", "site-header", "AdSlot", "side-bar", "reader-comments", "cookie_notice", "mainNav"]
+    for name in frame:
+        assert pages.main_text(f'<div class="{name}"><p>{"word " * 40}</p></div>') == "", name
+    for name in ("entry-header", "article-body", "content", "headline", "addition", "shipping"):
+        assert pages.main_text(f'<div class="{name}"><p>{"word " * 40}</p></div>'), name
+    assert pages.main_text(f'<div role="contentinfo">{"word " * 40}</div><p hidden>{"word " * 40}</p>') == ""
+
+
 def test_a_page_without_article_element():
     long = "word " * 40
     page = f"<div><a>x</a> <a>y</a></div><div><p>{long}</p><p>then this</p><p>{long}</p></div><div><a>more of this</a></div><div>fine print</div>"

@@ -15,8 +15,10 @@ in the order of their tokens; rows without id come first; an empty table gives f
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,13 @@ from .huffman import Codec, code_lengths
 END = 2
 #: Ids of a block at least, but for the last of a part.
 BLOCK = 1 << 16
-#: Distinct words a worker keeps.
-WORDS = 400_000
+#: Distinct words a worker keeps, some 150 MB.
+WORDS = 800_000
 #: Documents of one decoding step hold about so many bytes of bits.
 STEP = 2_000_000
+#: Printable ASCII but for the apostrophe, which may begin a contraction, and the sign that special tokens begin with.
+_PLAIN = re.compile(rb"[!-&(-;=-~]+")
+_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _BLOCKS = "part int, block int, ids_before long, n_ids long, doc_ids array<long>, n_tokens array<int>, checkpoints binary, payload binary"
 
 
@@ -45,9 +50,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark, self.mark_id = marks[-1], self.tokenizer.token_to_id(marks[-1])
-        self.risky = [m[:2] for m in marks]
         self.fresh()
 
     def fresh(self) -> None:
@@ -55,24 +57,31 @@ class WordEncoder:
         self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.start, self.used = np.zeros(1 << 16, np.int64), 0
 
+    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word. Words of plain ASCII signs go to the library's model part by part, as its
+        pre-tokenizer would cut them; the whole library takes the others."""
+        lists: list = [None] * len(words)
+        other, known, tokenize = [], {}, self.tokenizer.model.tokenize
+        for k, word in enumerate(words):
+            if not _PLAIN.fullmatch(word):
+                other.append(k)
+                continue
+            ids: list[int] = []
+            for part in _PARTS.findall(word.lower()):
+                found = known.get(part)
+                if found is None:
+                    found = known[part] = [t.id for t in tokenize(part.decode())]
+                ids += found
+            lists[k] = ids
+        texts = [words[k].decode() for k in other]
+        for k, found in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            lists[k] = found.ids
+        return lists
+
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        # A special token between words shows where the ids of each end; words that might hold one go alone.
-        alone = [any(r in t for r in self.risky) for t in texts]
-        lists: list = [None] * len(texts)
-        for k in np.flatnonzero(alone).tolist():
-            lists[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        rest = np.flatnonzero(~np.array(alone, bool)).tolist()
-        for at in range(0, len(rest), 500):
-            part = rest[at : at + 500]
-            found = self.tokenizer.encode(self.mark.join(texts[k] for k in part), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            for k, own in zip(part, np.split(ids, np.flatnonzero(ids == self.mark_id)), strict=True):
-                lists[k] = own
-            for k in part[1:]:
-                lists[k] = lists[k][1:]
+        lists = self._ids_of(words)
         sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists)
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sizes.sum())
         first = len(self.number)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -89,11 +98,10 @@ class WordEncoder:
         if len(self.number) > WORDS:
             self.fresh()
         lists = [(t or "").encode().split() for t in texts]
-        new = {w for ws in lists for w in ws} - self.number.keys()
+        new = set().union(*lists) - self.number.keys()
         if new:
             self._learn(sorted(new))
-        number = self.number
-        words = np.fromiter((number[w] for ws in lists for w in ws), np.int64)
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64)
         size = self.size[words]
         end = np.cumsum(size)
         per_word = np.concatenate([[0], end])

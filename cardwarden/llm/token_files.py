@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
-from .common import arrow_map, slices
+from .common import arrow_map, collector_off, slices
 from .huffman import Codec, code_lengths
 
 END = 2
@@ -70,7 +70,13 @@ class WordEncoder:
             for part in _PARTS.findall(word.lower()):
                 found = known.get(part)
                 if found is None:
-                    found = known[part] = [t.id for t in tokenize(part.decode())]
+                    # A part is often a word met before, without its comma or in lower case.
+                    at = self.number.get(part)
+                    if at is None:
+                        found = [t.id for t in tokenize(part.decode())]
+                    else:
+                        found = self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
+                    known[part] = found
                 ids += found
             lists[k] = ids
         texts = [words[k].decode() for k in other]
@@ -100,7 +106,7 @@ class WordEncoder:
         lists = [(t or "").encode().split() for t in texts]
         new = set().union(*lists) - self.number.keys()
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64)
         size = self.size[words]
         end = np.cumsum(size)
@@ -125,7 +131,8 @@ def encode_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for part in slices(batches, "text"):
-            ids, counts = words.encode(part.column("text").to_pylist())
+            with collector_off():
+                ids, counts = words.encode(part.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum(counts)]) * 2
             small = pa.py_buffer(ids.astype("<u2").tobytes())
             binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), small])

@@ -67,7 +67,8 @@ def encoded_and_decoded(documents: DataFrame) -> DataFrame:
     # The library too reads a literal U+2581 as a space.
     plain = F.replace(text, F.lit(sentence_pieces.SPACE), F.lit(" "))
     rows = documents.select("doc_id", "text", F.length(text).cast("long").alias("n_chars"), F.sha2(plain, 256).alias("want"))
-    found = sentence_pieces.decode(sentence_pieces.encode(rows, PIECE_MODEL), PIECE_MODEL, into="decoded")
+    # One pass, as a second Python worker beside each task would keep as many words.
+    found = sentence_pieces.encode(rows, PIECE_MODEL, decoded="decoded")
     digest = F.sha2("decoded", 256)
     return found.select(
         "doc_id", "n_chars", F.size("ids").cast("long").alias("n_ids"),

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from .bpe_transducer import _Table
 from .common import arrow_map, slices
 
 #: Words a worker keeps.
-WORDS = 500_000
+WORDS = 400_000
+#: Characters indexed at once; each takes some 200 bytes for a moment.
+STEP = 300_000
 #: Tested pairs of pieces a worker keeps.
 PAIRS = 2_000_000
 SPACE = "▁"
@@ -138,7 +141,7 @@ class Pieces:
         places = at[np.repeat(several, stop - begin)]
         window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, self.longest)[places])
         # What follows the end of a run is of no matter.
-        window[np.cumsum(window == 0, axis=1) > 0] = 0
+        window[np.logical_or.accumulate(window == 0, axis=1)] = 0
         suffixes = window.view(f"S{2 * self.longest}").ravel()
         order = np.argsort(suffixes, kind="stable")
         ranked = suffixes[order]
@@ -178,17 +181,15 @@ class Pieces:
         pieces, counts = self.split(words)
         strange = np.flatnonzero(pieces == self.unknown)
         if len(strange):
-            ends = np.cumsum(counts)
-            owner = np.searchsorted(ends, strange, "right")
-            lists = np.split(pieces, ends[:-1])
-            for k in np.unique(owner).tolist():
-                spelled, text, c = [], words[k], 0
-                for p in lists[k].tolist():
-                    spelled += [self.byte[b] for b in text[c].encode()] if p == self.unknown else [p]
-                    c += int(self.length[p])
-                lists[k] = np.array(spelled, np.int64)
-            counts = np.array([len(x) for x in lists])
-            pieces = np.concatenate(lists)
+            begin = np.cumsum(self.length[pieces]) - self.length[pieces]
+            text = "".join(words)
+            spelled = [text[c].encode() for c in begin[strange].tolist()]
+            times = np.ones(len(pieces), np.int64)
+            times[strange] = [len(b) for b in spelled]
+            owner = np.repeat(np.arange(len(words)), counts)
+            counts = np.bincount(owner, times, len(words)).astype(np.int64)
+            pieces = np.repeat(pieces, times)
+            pieces[pieces == self.unknown] = [self.byte[b] for b in b"".join(spelled)]
         first = len(self.word)
         while len(self.ids) < self.used + len(pieces):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -205,11 +206,15 @@ class Pieces:
         if len(self.word) > WORDS:
             self.fresh()
         lists = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in lists for w in ws} - self.word.keys()
-        if new:
-            self._learn(sorted(new))
-        word = self.word
-        words = np.fromiter((word[w] for ws in lists for w in ws), np.int64)
+        new = list(set().union(*lists) - self.word.keys())
+        ends = np.cumsum([len(w) for w in new])
+        at = 0
+        while at < len(new):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + STEP, side="right")))
+            self._learn(new[at:stop])
+            at = stop
+        words = np.fromiter(map(self.word.__getitem__, chain.from_iterable(lists)), np.int64)
         size = self.size[words]
         end = np.cumsum(size)
         at = np.arange(size.sum()) + np.repeat(self.start[words] - (end - size), size)
@@ -226,9 +231,12 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text in the array ``into``, in place of ``text``. ``path`` is the model's file on every machine."""
-    kept = [c for c in df.columns if c not in (text, into)]
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids of each text in the array ``into``, in place of ``text``. ``path`` is the model's file on every machine.
+
+    ``decoded`` names a column for the text that the ids decode to, made in the same pass.
+    """
+    kept = [c for c in df.columns if c not in (text, into, decoded)]
     row = df.select(*[F.col(f"`{c}`") for c in kept]).schema.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +245,17 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
             ids, counts = model.encode(part.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
+            arrays, names = [part.column("row"), lists], ["row", "ids"]
+            if decoded:
+                bounds = offsets.tolist()
+                back = [model.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+                arrays, names = [*arrays, pa.array(back, pa.string())], [*names, "text"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     plain = df.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    made = arrow_map(plain, run, f"row {row}, ids array<int>")
-    return made.select(*[F.col(f"row.`{c}`") for c in kept], F.col("ids").alias(into))
+    made = arrow_map(plain, run, f"row {row}, ids array<int>" + ", text string" * bool(decoded))
+    more = [F.col("text").alias(decoded)] if decoded else []
+    return made.select(*[F.col(f"row.`{c}`") for c in kept], F.col("ids").alias(into), *more)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:

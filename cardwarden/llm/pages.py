@@ -5,6 +5,10 @@ and share of linked words, the same of the blocks before and after it, whether a
 by its name or its class words part of the page's frame or of an article, and whether it is a heading. A decision
 tree, trained on the labelled table below, keeps or drops it.
 
+Class words of an element may be those of a layout, not of a frame. So a ``main`` element ends every frame round it that comes from class words only, and an
+``article`` does unless that frame has articles of its own (comments, teasers) or the page has a longer article outside such frames. A form is no frame of an
+article in it, nor if the page is in it.
+
 Defined cases: NULL or empty html gives empty text; unclosed elements end with what holds them, or with the page; an unclosed script, style or comment hides the rest;
 repeated rows are repeated. Extra columns are ignored.
 """
@@ -39,7 +43,7 @@ _BLOCKS = set(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_FRAME_TAGS = set("nav footer aside form menu dialog button head label".split())
+_FRAME_TAGS = set("nav footer aside menu dialog button head label".split())
 _MAIN_TAGS = {"article", "main"}
 _FRAME_WORDS = set(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs captcha comment comments complementary consent contentinfo cookie cookies "
@@ -49,6 +53,16 @@ _FRAME_WORDS = set(
 )
 _ARTICLE_WORDS = set("article entry post story".split())
 _MAIN_WORDS = _ARTICLE_WORDS | {"content", "main"}
+#: Frames whose articles are comments or teasers.
+_OWN_ARTICLES = set(
+    "ad ads advert adverts advertisement advertising comment comments disqus promo promotion recommended related replies reply respond "
+    "sponsor sponsored widget widgets".split()
+)
+#: From these words on a name says what its element has or how it is shown, not what it is.
+_MODIFIERS = set("has with without no not overflow backface".split())
+_WRAPS = {"wrap", "wrapper"}
+#: Share of the words outside other frames that a form holds if the whole page is in it.
+FORM_SHARE = 0.9
 
 #: Labelled blocks, by hand: words, linked share, the same two of the block before and after, in a frame element,
 #: in an article element, heading; then whether the block is main text.
@@ -167,32 +181,75 @@ def tree() -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
-def _role(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element belongs to the frame of the page, and whether it holds an article."""
-    frame, main = name in _FRAME_TAGS or (name == "header" and not in_article), name in _MAIN_TAGS
+def _words(value: str) -> set[str]:
+    """The words of the names in a class or id, without those that only modify a layout."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in _PART.findall(name)]
+        words = words[: next((i for i, w in enumerate(words) if w in _MODIFIERS), None)]
+        if not _WRAPS.isdisjoint(words) and not {"content", "main"}.isdisjoint(words):
+            words = [w for w in words if w not in ("side", "sidebar")]
+        if "search" in words and "results" in words:
+            words.remove("search")
+        found.update(words)
+    return found
+
+
+def _role(name: str, rest: str, in_article: bool) -> tuple[bool, set[str], bool, str]:
+    """Whether an element belongs to the frame of the page, its words that say so too, whether it holds an article, and as which element."""
+    frame, main, kind = name in _FRAME_TAGS or (name == "header" and not in_article), name in _MAIN_TAGS, name
     words: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             frame = True
+        elif key == "role" and value.lower() in _MAIN_TAGS:
+            main, kind = True, value.lower()
         elif key in ("class", "id", "role"):
-            words.update(w.lower() for w in _PART.findall(value))
+            words |= _words(value)
+    hit: set[str] = set()
     if words and name not in ("html", "body"):
         hit = words & _FRAME_WORDS
+        if name == "form":
+            hit.discard("form")
         # The header of an article or an entry is its own; the article element's class may name topics.
         if main or (hit == {"header"} and (in_article or words & _ARTICLE_WORDS)):
             hit = set()
-        frame |= bool(hit)
         main |= bool(words & _MAIN_WORDS) and not hit
-    return frame, main
+    return frame, hit, main, kind
+
+
+def _framed(rows: np.ndarray, forms: list[int], articles: int) -> np.ndarray:
+    """Whether each block is in the frame, as all of the page is known."""
+    n, hard, soft, free = rows[:, 0], rows[:, 2] > 0, rows[:, 3] > 0, rows[:, 4] > 0
+    formed, form, article = rows[:, 6:9].T.astype(int)
+    wide = np.zeros(len(forms) + 1, bool)
+    if forms:
+        sizes = np.bincount(form + 1, n * ~(hard | soft & free), len(forms) + 1)
+        for i in range(len(forms) - 1, -1, -1):
+            # The first place is that of no form, and ends with the words of the page.
+            sizes[forms[i] + 1] += sizes[i + 1]
+        wide[:-1] = (sizes[1:] >= FORM_SHARE * sizes[0]) & (sizes[1:] > 0)
+    hard = hard | (formed >= 0) & ~wide[formed]
+    if articles:
+        inside = (article >= 0) & ~hard
+        outside, ended = (np.bincount(article[k], n[k], articles).max() for k in (inside & ~soft, inside & soft & ~free))
+        if ended > outside:
+            soft = free
+    return hard | soft
 
 
 def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
     """The texts of the page's blocks and their features."""
     texts, rows = [], []
-    # Open block elements: name, whether it adds to the frame, to an article.
-    stack: list[tuple[str, bool, bool]] = []
-    frame = main = heading = 0
+    # What holds the text: a frame element, class words of a frame, the same unless an article ended it, class words of a frame with articles of its own,
+    # the form that is a frame, the form round all, the article, whether there is one by name or words, a heading.
+    here = (False, False, False, False, -1, -1, -1, False, False)
+    # Open block elements: name, what held them.
+    stack: list[tuple[str, tuple]] = []
+    # For each form the one round it; the number of articles.
+    forms: list[int] = []
+    articles = 0
     held: list[str] = []
     words = linked = 0
     link = -1
@@ -201,13 +258,12 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
         nonlocal held, words, linked
         if words:
             texts.append(" ".join("".join(held).split()))
-            rows.append((words, linked / words, frame > 0, main > 0, heading > 0))
+            rows.append((words, linked / words, *here))
         held, words, linked = [], 0, 0
 
     def pop() -> None:
-        nonlocal frame, main, heading, link
-        name, f, m = stack.pop()
-        frame, main, heading = frame - f, main - m, heading - (name in _HEADINGS)
+        nonlocal here, link
+        _, here = stack.pop()
         if link > len(stack):
             link = -1
 
@@ -241,9 +297,20 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
                     if name == "body":
                         while stack and stack[-1][0] == "head":
                             pop()
-                    f, m = _role(name, token["rest"] or token["rest2"], main > 0)
-                    stack.append((name, f, m))
-                    frame, main, heading = frame + f, main + m, heading + (name in _HEADINGS)
+                    hard, soft, free, own, formed, form, article, main, heading = here
+                    f, hit, m, kind = _role(name, token["rest"] or token["rest2"], main)
+                    if kind in _MAIN_TAGS:
+                        free, formed = free and own and kind != "main", -1
+                        if kind == "main":
+                            soft = own = False
+                        if article < 0:
+                            article, articles = articles, articles + 1
+                    elif name == "form":
+                        forms.append(form)
+                        formed = form = len(forms) - 1
+                    soft, free, own = soft or bool(hit), free or bool(hit), own or not hit.isdisjoint(_OWN_ARTICLES)
+                    stack.append((name, here))
+                    here = (hard or f, soft, free, own, formed, form, article, main or m, heading or name in _HEADINGS)
             elif any(s[0] == name for s in stack):
                 while stack[-1][0] != name:
                     pop()
@@ -251,7 +318,8 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
     if at < len(page):
         text(page[at:])
     close()
-    own = np.array(rows, float).reshape(-1, 5)
+    all_ = np.array(rows, float).reshape(-1, 11)
+    own = np.column_stack([all_[:, :2], _framed(all_, forms, articles), all_[:, 9:]])
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1, :2]]), np.concatenate([own[1:, :2], edge])
     return texts, np.concatenate([own[:, :2], before[: len(own)], after[: len(own)], own[:, 2:]], axis=1)

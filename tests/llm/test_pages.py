@@ -35,6 +35,37 @@ def test_names_of_elements():
     assert pages.main_text(f'<div role="contentinfo">{"word " * 40}</div><p hidden>{"word " * 40}</p>') == ""
 
 
+def test_class_words_of_a_layout_are_no_frame():
+    long = ("word " * 40).strip()
+    for name in ("content has-sidebar", "content-sidebar-wrap", "overflow-hidden", "page with-sidebar", "no-sidebar", "hasSidebar"):
+        assert pages.main_text(f'<div class="{name}"><p>{long}</p></div>') == long, name
+    assert pages.main_text(f'<div id="search-results"><p>{long}</p></div>') == long
+    for name in ("sidebar no-padding", "nav-no-border", "footer-wrap", "sidebar-wrap", "search", "hidden"):
+        assert pages.main_text(f'<div class="{name}"><p>{long}</p></div>') == "", name
+
+
+def test_an_article_ends_an_outer_frame_of_class_words():
+    long = ("word " * 40).strip()
+    for name in ("right-sidebar", "sidebar-wrap", "search", "hidden", "sticky-footer"):
+        for element in ("main", "article", 'div role="main"'):
+            page = f'<div class="{name}"><{element}><p>{long}</p><nav><p>{long}</p></nav><div class="share"><p>{long}</p></div></{element.split()[0]}><p>{long}</p></div>'
+            assert pages.main_text(page) == long, (name, element)
+    for element in ("nav", "aside", "footer", "div hidden"):
+        assert pages.main_text(f"<{element}><article><p>{long}</p></article></{element.split()[0]}>") == "", element
+    # Articles that are comments or teasers stay in the frame.
+    assert pages.main_text(f'<div><p>{long}</p></div><div id="comments"><article><p>{long} more</p></article></div>') == long
+    assert pages.main_text(f'<article><p>{long}</p></article><div class="sidebar"><article><p>Teaser of one more article.</p></article></div>') == long
+    assert pages.main_text(f'<div class="has-comments sidebar"><main><p>{long}</p><div class="comments"><article><p>{long}</p></article></div></main></div>') == long
+
+
+def test_a_form_round_the_page_is_no_frame():
+    long = ("word " * 40).strip()
+    form = '<form id="form1" action="page.aspx">'
+    assert pages.main_text(f"{form}<nav>{long}</nav><article><p>{long}</p></article></form><p>{long} x</p>") == f"{long}\n\n{long} x"
+    assert pages.main_text(f'{form}<header>A site</header><div><p>{long}</p></div><form><p>Your mail</p></form><div class="footer">{long}</div></form>') == long
+    assert pages.main_text(f"<p>{long}</p>{form}<p>{long}</p></form>") == long
+
+
 def test_a_page_without_article_element():
     long = "word " * 40
     page = f"<div><a>x</a> <a>y</a></div><div><p>{long}</p><p>then this</p><p>{long}</p></div><div><a>more of this</a></div><div>fine print</div>"

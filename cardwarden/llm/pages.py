@@ -29,12 +29,14 @@ from .common import arrow_map, slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|title|select|math|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Elements whose inside is no text of the page; the first ones hide the rest of the page if nothing ends them.
+_UNENDING = {"script", "style"}
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in "script style noscript template svg iframe object textarea title canvas".split()}
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCKS = set(
@@ -276,7 +278,9 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
         linked += n * (link >= 0)
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    # Raw elements that nothing ends from here on.
+    unended: set[str] = set()
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             text(page[at : token.start()])
         at = token.end()
@@ -284,7 +288,17 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray]:
         if not name:
             continue
         ending = bool(token["end"] or token["end2"])
-        if name == "a":
+        if name in _RAW:
+            foreign_end = name == "svg" and (token["rest"] or token["rest2"] or "").endswith("/")
+            if not ending and not foreign_end and name not in unended:
+                close_tag = _RAW[name].search(page, at)
+                if close_tag:
+                    at = close_tag.end()
+                elif name in _UNENDING:
+                    at = len(page)
+                else:
+                    unended.add(name)
+        elif name == "a":
             link = -1 if ending else len(stack)
         elif name == "br":
             held.append(" ")

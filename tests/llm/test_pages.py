@@ -81,6 +81,17 @@ def test_broken_markup():
     assert len(pages.main_text("<article><p>" + "long " * 200_000)) == 999_999
 
 
+def test_raw_elements():
+    long = ("word " * 40).strip()
+    for tag in ('<svg viewBox="0 0 9 9"/>', '<svg aria-label="a>b" />', "<math/>", "<title-bar>", "<object-view>", "<script-view>", "<iframe>", "<noscript>", "<canvas>", "<svg>"):
+        assert pages.main_text(f"<article><p>{long}</p>{tag}<p>{long} x</p></article>") == f"{long}\n\n{long} x", tag
+    for name in ("script", "style", "svg", "object", "NoScript"):
+        assert pages.main_text(f"<article><p>a {long}</p><{name} a='>'><p>gone</{name}-x></{name} ><p>{long}</article>") == f"a {long}\n\n{long}", name
+    assert pages.main_text(f"<article><p>{long} <math><mi>x</mi></math> is so</p><select><option>One<option>Two</select></article>") == f"{long} x is so\n\nOne\n\nTwo"
+    # Each element that nothing ends is looked for once.
+    assert pages.main_text("<article><p>" + "<svg>x " * 50_000).count("x") == 50_000
+
+
 def test_tree_learns_its_table():
     table = np.array([line.split() for line in pages.LABELLED.strip().splitlines()], float)
     assert (pages.tree().predict(table[:, :-1]) == (table[:, -1] > 0)).all()

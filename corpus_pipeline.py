@@ -32,17 +32,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; of repeated rows one."""
-    grouped = simhash.near_duplicates(docs)
-    keep = grouped.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # Ids are few bytes a row, so the choice among rows of one id is made before texts move.
+    """Of each group of near copies the row with the least id, and of several texts under that id one; of repeated rows one.
+
+    Texts that share an id but are no near copies of one another stay. A row is its id and the hash of both, few bytes, so the choice is made before texts move.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row_key().alias("key")))
+    grouped = simhash.near_duplicates(docs.select(row.alias("id"), "text"), "id")
+    counted = grouped.where(F.col("id") == F.col("component_id")).groupBy("id.doc_id", "id.key").agg(F.count("*").alias("n"))
+    chosen = stage(counted.select("doc_id", F.col("key").alias("_key"), "n"), "chosen")
     keyed = docs.withColumn("_key", row_key())
-    counted = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "_key").agg(F.count("*").alias("n"))
-    chosen = counted.groupBy("doc_id").agg(F.min(F.struct("_key", "n")).alias("s")).join(keep, "doc_id", "left_semi")
-    chosen = stage(chosen.select("doc_id", "s._key", "s.n"), "chosen")
-    repeated = stage(chosen.where("n > 1").select("doc_id", "_key"), "repeated")
     single = keyed.join(chosen.where("n = 1"), ["doc_id", "_key"], "left_semi")
-    once = keyed.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id"])
+    once = keyed.join(chosen.where("n > 1"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
     nameless = keyed.where(F.col("doc_id").isNull())
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return single.select(columns).unionByName(once.select(columns)).unionByName(nameless.select(columns))

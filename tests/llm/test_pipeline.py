@@ -56,3 +56,16 @@ def test_edge_rows_pass_all_stages(spark, documents, tmp_path):
                 assert docs.columns == names
         got = sorted(((r.doc_id, r.round_trip) for r in docs.collect()), key=str)
         assert got == ([(1, True), (None, True)] if given else [])
+
+
+def test_near_dedup_keeps_texts_that_only_share_an_id(spark, documents):
+    texts = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcdefgh"}
+    rows = [
+        (3, texts["a"]), (5, texts["a"]), (5, texts["b"]), (5, texts["c"]), (5, texts["c"]), (5, texts["d"]), (6, texts["d"]),
+        *[(7, texts[c]) for c in "efgh"], (7, texts["e"].upper()), (None, texts["a"]), (None, texts["a"]),
+    ]
+    docs = documents(rows)
+    got = [(r.doc_id, r.text.lower()) for r in pipeline.near_dedup(spark, docs, SF).collect()]
+    want = [(3, "a"), *[(5, c) for c in "bcd"], *[(7, c) for c in "efgh"], (None, "a"), (None, "a")]
+    assert sorted(got, key=str) == sorted([(d, texts[c]) for d, c in want], key=str)
+    assert pipeline.near_dedup(spark, documents([]), SF).count() == 0

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, result = QUERIES[name](spark, SF), duck.execute(ORACLE[name])
     names = [d[0] for d in result.description]

@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.dictionary import new_entries
+from ..operators.dictionary import distinct_values, new_entries
 from ..operators.features import ENCODED, build_features
 from ..session import scratch_scope, stage
-from ..sources.upserts import append_batch, read_batches, writer_of
+from ..sources.commits import CommitLog, State
+from ..sources.upserts import append_batch, append_if_unchanged, read_batches, replace_all, writer_of
 
 
 def feature_stream(
@@ -27,17 +28,37 @@ def _dictionary_schema(column: str, id_column: str) -> T.StructType:
 
 
 def save_dictionary(dictionary: DataFrame, path: str) -> None:
-    """Store a dictionary that streams may extend: entries are only ever added, a folder at a time."""
-    append_batch(dictionary, path, -1, "initial")
+    """Store a dictionary that streams may extend; one that is there already is replaced."""
+    replace_all(dictionary, path, "initial")
 
 
 def load_dictionary(
-    spark: SparkSession, path: str, column: str, id_column: str, before: int | None = None,
-    writer: str = "initial",
+    spark: SparkSession, path: str, column: str, id_column: str, state: State | None = None
 ) -> DataFrame:
-    """The entries stored; with ``before``, without those of this writer's batches from that one on."""
+    """The entries stored; with ``state``, those of that state of the dictionary."""
     schema = _dictionary_schema(column, id_column)
-    return read_batches(spark, path, schema, before, writer).select(column, id_column)
+    return read_batches(spark, path, schema, state=state).select(column, id_column)
+
+
+def extend_stored(
+    df: DataFrame, path: str, column: str, id_column: str, batch_id: int, writer: str
+) -> DataFrame:
+    """Add the values of ``df`` that the stored dictionary lacks; returns all entries.
+
+    Any number of queries may do so at once. Ids are allocated on a state of the dictionary and committed only if it is still
+    the newest; whoever comes second sees the other's entries and allocates again for what is left. So a
+    value has one id, an id one value, and ids have no gaps. A replay finds its values there.
+    """
+    log = CommitLog(df.sparkSession, path)
+    values = stage(distinct_values(df, column), "values")
+    while True:
+        state = log.state()
+        known = load_dictionary(df.sparkSession, path, column, id_column, state)
+        entries = stage(new_entries(known, values, column, id_column), "entries")
+        if entries.isEmpty():
+            return known
+        if append_if_unchanged(entries, path, state, batch_id, writer):
+            return known.unionByName(entries)
 
 
 def refreshing_features(
@@ -46,9 +67,8 @@ def refreshing_features(
     """A ``foreachBatch`` function that adds the batch's unseen values to the dictionaries before
     it encodes, so no row is lost.
 
-    The query is named by its checkpoint: what it writes never replaces another query's. A batch
-    reads all entries but its own query's from this batch on, hence a replay gives the same ids
-    again. One such query may extend a dictionary at a time. A batch without unseen values adds
+    The query is named by its checkpoint: what it writes never replaces another query's. Any number of such queries may extend a dictionary at once; see
+    ``extend_stored``. Entries are never changed, hence a replay gives the same ids again. A batch without unseen values adds
     nothing to a dictionary, and its scratch tables go with it.
     """
     writer = writer_of(checkpoint)
@@ -61,11 +81,7 @@ def refreshing_features(
                 dictionaries = {}
                 for column, id_column in ENCODED.items():
                     path = dictionary_paths[column]
-                    known = load_dictionary(spark, path, column, id_column, batch_id, writer)
-                    entries = stage(new_entries(known, batch, column, id_column), "entries")
-                    if not entries.isEmpty():
-                        append_batch(entries, path, batch_id, writer)
-                    dictionaries[column] = known.unionByName(entries)
+                    dictionaries[column] = extend_stored(batch, path, column, id_column, batch_id, writer)
                 append_batch(feature_stream(batch, dictionaries), target, batch_id, writer)
         finally:
             batch.unpersist()

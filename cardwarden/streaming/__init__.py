@@ -1,11 +1,12 @@
 """Structured Streaming jobs over the same operators as the batch jobs."""
 
+from .answers import first_verdict_stream
 from .features import feature_stream, load_dictionary, refreshing_features, save_dictionary
 from .sinks import append_stream, foreach_batch_stream, upsert_stream
 from .verdicts import verdict_batches, verdict_stream, verdict_within_stream
 
 __all__ = [
-    "append_stream", "feature_stream", "foreach_batch_stream", "load_dictionary",
+    "append_stream", "feature_stream", "first_verdict_stream", "foreach_batch_stream", "load_dictionary",
     "refreshing_features", "save_dictionary", "upsert_stream", "verdict_batches",
     "verdict_stream", "verdict_within_stream",
 ]

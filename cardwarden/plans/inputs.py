@@ -162,6 +162,32 @@ def txn_status(events: DataFrame) -> DataFrame:
     )
 
 
+def repeated_status(events: DataFrame) -> DataFrame:
+    """Those verdicts, each again five seconds later, and for some transactions an earlier one before them."""
+    seconds = "ts + make_dt_interval(0, 0, 0, {})"
+    return events.where("event_id % 5 <> 0").selectExpr(
+        "cast(event_id as string) as txn_num",
+        f"""inline(filter(array(
+            named_struct('status_ts', {seconds.format("event_id % 90")}, 'txn_status', case when value > 250 then 'REJECTED' else 'AUTHORIZED' end),
+            named_struct('status_ts', {seconds.format("event_id % 90 + 5")}, 'txn_status', 'AGAIN'),
+            named_struct('status_ts', {seconds.format("event_id % 90")}, 'txn_status', case when value > 250 then 'REJECTED' else 'AUTHORIZED' end),
+            named_struct('status_ts', {seconds.format("event_id % 90 * 0.5")}, 'txn_status', case event_id % 3 when 0 then 'EARLY' end)
+        ), s -> s.txn_status is not null))""",
+    )
+
+
+def mixed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change feed over some keys per user, in the order of the event ids: replacements, deletes, and updates of one field or both."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "case when event_id % 10 = 0 then 'delete' when event_id % 10 in (1, 2) then 'replace' else 'update' end as operationType",
+        "concat(cast(user_id as string), '-', cast(event_id % 7 as string)) as key",
+        "event_id as at",
+        "case when event_id % 10 in (1, 2) then named_struct('category', event_type, 'amt', value) end as fullDocument",
+        "case when event_id % 10 > 2 then map_from_entries(filter(array(if(event_id % 4 < 2, named_struct('key', 'category', 'value', event_type), null),"
+        " if(event_id % 4 > 0, named_struct('key', 'amt', 'value', cast(value as string)), null)), e -> e is not null)) end as changed",
+    )
+
+
 def with_score(df: DataFrame) -> DataFrame:
     """A fixed score in place of a model."""
     return df.withColumn("score", F.col("amt") / F.lit(500.0))

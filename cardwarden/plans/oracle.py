@@ -299,6 +299,36 @@ ORACLE = {
           select 1 from raw l where l.trans_date_trans_time < '2024-01-10 00:00:00'
                                 and l.trans_num = raw.trans_num)""",
     "upsert_latest": LATEST,
+    "merged_latest": LATEST,
+    "verdict_replayed": _VERDICTS,
+    "change_feed_applied": """
+        with feed as (
+          select cast(user_id as varchar) || '-' || cast(event_id % 7 as varchar) "key", event_id "at", event_id % 10 kind,
+                 event_id % 4 part, event_type category, value amt
+          from events),
+        begun as (select "key", max("at") "at" from feed where kind < 3 group by "key"),
+        alive as (select "key", "at" from begun join feed using ("key", "at") where kind <> 0)
+        select "key", arg_max({'v': f.category}, f."at") filter (where f.kind < 3 or f.part < 2).v category,
+               arg_max({'v': f.amt}, f."at") filter (where f.kind < 3 or f.part > 0).v amt
+        from alive join feed f using ("key") where f."at" >= alive."at" group by "key" """,
+    "dictionary_queries_at_once": f"with {RAW} select trans_num, category, true is_dense from raw",
+    "user_spend_stream": f"""with {RAW} {SPEND} from raw group by "first", "last" """,
+    "verdict_first_stream": """
+        with status as (
+          select event_id, ts + (event_id % 90) * interval 1 second status_ts,
+                 case when value > 250 then 'REJECTED' else 'AUTHORIZED' end txn_status
+          from events where event_id % 5 <> 0),
+        every_status as (
+          select * from status
+          union all select event_id, status_ts + interval 5 second, 'AGAIN' from status
+          union all select event_id, ts + (event_id % 90) * interval 500 millisecond, 'EARLY' from events
+                    where event_id % 5 <> 0 and event_id % 3 = 0)
+        select cast(e.event_id as varchar) trans_num, ts, status_ts, txn_status,
+               case when s.event_id is null then 'Failed' end status,
+               case when s.event_id is null then 'timeout' end reason
+        from events e left join every_status s
+          on s.event_id = e.event_id and status_ts between ts and ts + interval 60 second
+        qualify row_number() over (partition by e.event_id order by status_ts, txn_status) = 1""",
     "featurized_stream": _STREAM_FEATURES,
     "stream_dictionary_refresh": f"with {RAW} select trans_num, category, gender from raw",
     "upsert_stream_latest": LATEST,

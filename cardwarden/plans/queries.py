@@ -18,10 +18,15 @@ from ..operators.ranking import latest_rows
 from ..schemas import MODEL_FEATURES, RUNS
 from ..session import parts_of, scratch_path, settings, stage
 from ..sources import (
+    MergedTable,
     append_batch,
+    apply_changes,
+    change_table,
     changes_for,
     compact,
+    documents_of,
     from_messages,
+    keep_latest,
     load_new_files,
     new_only,
     read_latest,
@@ -35,11 +40,15 @@ from ..sources import (
 )
 from ..streaming import (
     append_stream,
+    current_spend,
     feature_stream,
+    first_verdict_stream,
     foreach_batch_stream,
     load_dictionary,
     refreshing_features,
     save_dictionary,
+    spend_stream,
+    spend_table,
     upsert_stream,
     verdict_within_stream,
 )
@@ -489,6 +498,42 @@ def upsert_latest(spark, sf_dir):
     return read_latest(spark, target, raw.schema, "cc_num", order)
 
 
+@query
+def merged_latest(spark, sf_dir):
+    """Last transaction per card in a bucketed table, after three merges whose times overlap and a replay."""
+    raw = inputs.raw_txn(spark, sf_dir).select("cc_num", "trans_date_trans_time", "trans_num", "amt")
+    raw = stage(raw, "arrivals")
+    buckets = max(4, parts_of(raw))
+    table = MergedTable(spark, scratch_path(spark, "merged"), raw.schema, "cc_num", keep_latest(["trans_date_trans_time", "trans_num"]), buckets)
+    group = F.pmod(F.xxhash64("trans_num"), F.lit(3))
+    for batch_id in (0, 1, 2, 1):
+        table.merge(raw.where(group == batch_id), "arrivals", batch_id)
+    return table.read()
+
+
+@query
+def verdict_replayed(spark, sf_dir):
+    """One writer rejects every transaction, another judges them, the first replays its batch: the later verdict stands."""
+    path = scratch_path(spark, "replayed")
+    judged = stage(verdicts.verdict(rules.combine(rules.cascade(_limits(spark, sf_dir)))), "judged")
+    first = judged.withColumn("txn_status", F.lit(verdicts.REJECTED))
+    for writer, rows in (("a", first), ("b", judged), ("a", first)):
+        upsert_sink(f"{path}/rows", "txn_num", ["txn_status"], f"{path}/{writer}")(rows, 0)
+    return read_latest(spark, f"{path}/rows", judged.schema, "txn_num", [])
+
+
+@query
+def change_feed_applied(spark, sf_dir):
+    """The collection after a feed of replacements, partial updates and deletes that come late and twice."""
+    document = T.StructType([T.StructField("category", T.StringType()), T.StructField("amt", T.DoubleType())])
+    feed = stage(inputs.mixed_feed(spark, sf_dir), "feed")
+    table = change_table(spark, scratch_path(spark, "changes"), document, T.LongType(), buckets=max(4, parts_of(feed)))
+    group = F.pmod(F.xxhash64("at"), F.lit(3))
+    for batch_id, part in enumerate((2, 0, 1, 2)):
+        apply_changes(table, feed.where(group == part), document, "feed", batch_id)
+    return documents_of(table.read())
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 
@@ -580,6 +625,42 @@ def dictionary_two_queries(spark, sf_dir):
     )
 
 
+@query
+def dictionary_queries_at_once(spark, sf_dir):
+    """Two queries that run at the same time extend one dictionary: every value has one id, every id one value, and no number is left out."""
+    raw = inputs.raw_txn(spark, sf_dir)
+    path = scratch_path(spark, "at_once")
+    paths = {column: f"{path}/{column}" for column in feat.ENCODED}
+    for column, dictionary in dic.build_dictionaries(raw.where("is_fraud = '1'"), feat.ENCODED).items():
+        save_dictionary(dictionary, paths[column])
+    odd = F.col("trans_num").cast("long") % 2 == 1
+    started = []
+    for name, side in (("first", F.coalesce(odd, F.lit(False))), ("second", ~F.coalesce(odd, F.lit(False)))):
+        process = refreshing_features(paths, f"{path}/features", f"{path}/{name}")
+        rows = _raw_stream(spark, sf_dir).where(side)
+        started.append(foreach_batch_stream(rows, process, f"{path}/{name}"))
+    for each in started:
+        each.awaitTermination()
+    entries = stage(load_dictionary(spark, paths["category"], "category", "cat_id"), "entries")
+    counts = entries.agg(F.count("*").alias("n"), F.countDistinct("category").alias("n_values"), F.countDistinct("cat_id").alias("n_ids"), F.max("cat_id").alias("last")).first()
+    dense = counts["n"] == counts["n_values"] == counts["n_ids"] == (counts["last"] or 0) + 1
+    rows = spark.read.parquet(f"{path}/features").select("trans_num", "cat_id")
+    return dic.lookup_join(rows, entries, "cat_id").select("trans_num", "category", F.lit(dense).alias("is_dense"))
+
+
+@query
+def user_spend_stream(spark, sf_dir):
+    """Spend per user, added up by a stream in two runs over a growing set of files."""
+    raw = inputs.raw_txn(spark, sf_dir).select("first", "last", "trans_num", "amt", "is_fraud")
+    path = scratch_path(spark, "spend")
+    table = spend_table(spark, f"{path}/table", max(4, parts_of(raw)))
+    early = F.coalesce(F.col("trans_num") % 3 == 0, F.lit(False))
+    for batch in (early, ~early):
+        raw.where(batch).write.mode("append").parquet(f"{path}/landing")
+        spend_stream(streaming_source(spark, f"{path}/landing/", raw.schema), table, f"{path}/checkpoint").awaitTermination()
+    return current_spend(table)
+
+
 @query
 def verdict_changed(spark, sf_dir):
     """Each transaction is first REJECTED, then judged anew by a later query: the later verdict stands."""
@@ -656,6 +737,31 @@ def verdict_within_60s_stream(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "status_ts")})
 
 
+@query
+def verdict_first_stream(spark, sf_dir):
+    """One answer per transaction where verdicts repeat.
+
+    History comes in slices of time, in order; each is handled by a query that goes on from the last one's checkpoint. So the delay is short,
+    and the state is that of one slice at most. A closing row lets the last deadlines pass.
+    """
+    path = scratch_path(spark, "first")
+    batch = inputs.table(spark, sf_dir, "events")
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 3
+    edges = [first, first + step, first + 2 * step, last + timedelta(seconds=1)]
+    row = {"event_id": -1, "ts": last + timedelta(days=1)}
+    closing = spark.createDataFrame([tuple(row.get(c) for c in batch.columns)], batch.schema)
+    slices = [batch.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))) for a, b in zip(edges, edges[1:], strict=False)]
+    with settings(spark, spark__sql__shuffle__partitions=str(max(4, parts_of(batch)))):
+        for arriving in [*slices, closing]:
+            arriving.write.mode("append").parquet(f"{path}/events")
+            events = streaming_source(spark, f"{path}/events/", batch.schema)
+            answers = first_verdict_stream(inputs.txn_times(events), inputs.repeated_status(events))
+            append_stream(answers, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.schema(answers.schema).parquet(f"{path}/rows").where("trans_num <> '-1'")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "status_ts")})
+
+
 # --- models -------------------------------------------------------------------------------------
 
 

@@ -116,3 +116,47 @@ def test_query_on_the_whole_table(spark):
         inner = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+HELD = (
+    "share-price legal-text menu-recipes notice-board side-by-side modal-open hidden-gems search-engine-guide comment-on-the-budget elementor-widget elementor-widget-container "
+    "fl-widget wp-block-widget"
+).split()
+
+
+def test_a_word_inside_a_name_is_no_frame():
+    long = ("word " * 40).strip()
+    for name in HELD:
+        assert pages.main_text(f'<div class="{name}"><p>{long}</p></div>') == long, name
+        assert pages.main_text(f'<div id="{name}"><h1>News today</h1><p>The mayor resigned on Monday.</p></div>') == "News today\n\nThe mayor resigned on Monday.", name
+        for element in ("main", "article"):
+            page = f'<{element}><p>{long} x</p><section class="{name}"><p>{long}</p><p>Short.</p></section></{element}>'
+            assert pages.main_text(page) == f"{long} x\n\n{long}\n\nShort.", (element, name)
+
+
+def test_what_a_name_names_is_a_frame():
+    long = ("word " * 40).strip()
+    for name in ("sidebar-widget", "widget", "widget-area", "footer-widgets", "side-bar", "ad-slot-top", "share-buttons", "comments-section", "cookie-bar", "nav_bar", "newsletter-signup-box", "menu-list"):
+        for page in ("<div class='{0}'><p>{1}</p></div>", "<main><p>x {1}</p><div class='{0}'><p>{1}</p></div></main>", "<article><p>x {1}</p><div id={0}><p>{1}</p></div></article>"):
+            assert pages.main_text(page.format(name, long)) in ("", f"x {long}"), name
+
+
+def test_short_pages_keep_their_blocks():
+    want = "News today\n\nThe mayor resigned on Monday.\n\nHe gave no reason."
+    body = "<h1>News today</h1><p>The mayor resigned on Monday.</p><p>He gave no reason.</p>"
+    assert pages.main_text(body) == pages.main_text(f"<html><body><div>{body}</div></body></html>") == want
+    framed = f"<header>A site</header><nav><a href=x>Home</a></nav><div>{body}</div><div class=sidebar><p>Some more.</p></div><footer>2024.</footer>"
+    assert pages.main_text(framed) == want
+    assert pages.main_text("<div><a href=x>Home</a> <a>About</a></div><p>Short text here.</p><p><a>Read more here</a></p>") == "Short text here."
+    assert pages.main_text("<h2>Soup</h2><ul><li>two onions</li><li>one carrot</li></ul>") == "Soup\n\ntwo onions\n\none carrot"
+    assert pages.main_text("hello world") == pages.main_text("<div>hello world</div>") == "hello world"
+    # Where the page has an article, what is beside it is none of it.
+    assert pages.main_text("<article><h1>T</h1><p>x y z.</p></article><p>Follow us on the net.</p><div>All rights reserved.</div>") == "T\n\nx y z."
+
+
+def test_a_long_page():
+    long = "word " * 40
+    page = "<nav><a>Home</a></nav><main>" + f"<p>{long}<a href='/x'>link</a></p><script>var x = '<p>';</script>" * 120_000 + "</main>"
+    assert len(page) > 30_000_000
+    text = pages.main_text(page)
+    assert text.count("\n\n") == 119_999 and len(text) == 120_000 * (205 - 1) + 119_999 * 2

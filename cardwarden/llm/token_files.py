@@ -5,17 +5,17 @@ document ids, in ascending order, and a row for each block of whole documents: `
 place of its first id; the ids of its documents and how many tokens each has; the coded bits; the bit
 offset of every 256th token, from which decoding can begin.
 
-The tokenizers library encodes each distinct word once per worker, as white space always parts tokens in its vocabulary; words are kept
-for later batches, up to a bound.
+The tokenizers library encodes each distinct piece of a word once per worker, as white space always parts tokens in its vocabulary; pieces are kept
+for later batches, up to a bound. The pieces of a batch are cut and told apart in arrays, and only its distinct ones looked up.
 
 Defined cases: NULL counts as empty and holds the end id only; repeated rows are written repeatedly; equal ids are
-in the order of their tokens; rows without id come first; an empty table gives files without rows. Extra columns are ignored.
+in the order of their first 32 tokens, then of a hash; rows without id come first; an empty table gives files without rows. A vocabulary beyond 16 bits is an error. Extra columns are ignored.
+A very long text is one row, its words are looked up in steps of two million bytes; a task needs about 25 times its bytes.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
-from .common import arrow_map, collector_off, slices
+from .common import SLICE_BYTES, SPACES, arrow_map, collector_off, slices, utf8
 from .huffman import Codec, code_lengths
+from .substrings import _range_hash, word_bounds
 
 END = 2
 #: Ids of a block at least, but for the last of a part.
@@ -36,12 +37,42 @@ BLOCK = 1 << 16
 WORDS = 800_000
 #: Documents of one decoding step hold about so many bytes of bits.
 STEP = 2_000_000
-#: Printable ASCII but for the apostrophe, which may begin a contraction, and the sign that special tokens begin with.
-_PLAIN = re.compile(rb"[!-&(-;=-~]+")
-_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Kinds of bytes: letters, digits, other printable ASCII, and what the library alone knows how to cut: the apostrophe, which may begin a contraction, the sign that
+#: special tokens begin with, and all that is not printable ASCII.
+_LETTER, _DIGIT, _SIGN, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[ord("'"), ord("<")]] = _ODD
+_KIND[list(SPACES)] = 0
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_KIND[ord("a") : ord("z") + 1] = _KIND[ord("A") : ord("Z") + 1] = _LETTER
 _BLOCKS = "part int, block int, ids_before long, n_ids long, doc_ids array<long>, n_tokens array<int>, checkpoints binary, payload binary"
 
 
+def pieces_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of texts whose ids do not depend on what is beside them: the bytes to look up, starts, ends, whether a piece is plain, and the first piece of each text.
+
+    A word of plain signs is cut as the library's pre-tokenizer would, into letters, single digits and the signs between, in lower case; another word is one piece.
+    """
+    starts, ends, _ = word_bounds(data, bounds)
+    kind = _KIND[data]
+    odd = np.concatenate([[0], np.cumsum(kind == _ODD)])
+    plain = odd[ends] == odd[starts]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[plain]] = 1
+    inside[ends[plain]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    begins = inside & (kind == _DIGIT)
+    begins[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    begins[starts] = True
+    cuts = np.flatnonzero(begins)
+    word = np.searchsorted(starts, cuts, side="right") - 1
+    stops = np.minimum(np.append(cuts[1:], len(data)), ends[word])
+    return np.where(inside, _LOWER[data], data), cuts, stops, plain[word], np.searchsorted(cuts, bounds)
+
+
 class WordEncoder:
     """Ids of texts by way of the library's ids of their words."""
 
@@ -50,6 +81,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has ids beyond 16 bits, which the files hold")
         self.fresh()
 
     def fresh(self) -> None:
@@ -57,35 +90,23 @@ class WordEncoder:
         self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.start, self.used = np.zeros(1 << 16, np.int64), 0
 
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. Words of plain ASCII signs go to the library's model part by part, as its
-        pre-tokenizer would cut them; the whole library takes the others."""
-        lists: list = [None] * len(words)
-        other, known, tokenize = [], {}, self.tokenizer.model.tokenize
-        for k, word in enumerate(words):
-            if not _PLAIN.fullmatch(word):
+    def _ids_of(self, pieces: list[bytes], plain: list[bool]) -> list[list[int]]:
+        """Ids of each piece: plain ones go to the library's model, the whole library takes the others."""
+        lists: list = [None] * len(pieces)
+        tokenize = self.tokenizer.model.tokenize
+        other = []
+        for k, (piece, easy) in enumerate(zip(pieces, plain, strict=True)):
+            if easy:
+                lists[k] = [t.id for t in tokenize(piece.decode())]
+            else:
                 other.append(k)
-                continue
-            ids: list[int] = []
-            for part in _PARTS.findall(word.lower()):
-                found = known.get(part)
-                if found is None:
-                    # A part is often a word met before, without its comma or in lower case.
-                    at = self.number.get(part)
-                    if at is None:
-                        found = [t.id for t in tokenize(part.decode())]
-                    else:
-                        found = self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
-                    known[part] = found
-                ids += found
-            lists[k] = ids
-        texts = [words[k].decode() for k in other]
+        texts = [pieces[k].decode() for k in other]
         for k, found in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             lists[k] = found.ids
         return lists
 
-    def _learn(self, words: list[bytes]) -> None:
-        lists = self._ids_of(words)
+    def _learn(self, words: list[bytes], plain: list[bool]) -> None:
+        lists = self._ids_of(words, plain)
         sizes = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, sizes.sum())
         first = len(self.number)
@@ -99,24 +120,51 @@ class WordEncoder:
         self.used += len(flat)
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        if len(self.number) > WORDS:
-            self.fresh()
-        lists = [(t or "").encode().split() for t in texts]
-        new = set().union(*lists) - self.number.keys()
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The number of each piece of ``data``; only distinct ones are looked up."""
+        _, where, which = np.unique(_range_hash(data, starts, ends), return_index=True, return_inverse=True)
+        length, like = ends - starts, starts[where][which]
+        same = (length == length[where][which]).all()
+        if same:
+            # Pieces of one hash are compared byte by byte.
+            within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            same = (data[np.repeat(starts, length) + within] == data[np.repeat(like, length) + within]).all()
+        if not same:
+            where, which = np.arange(len(starts)), slice(None)
+        raw, get = data.tobytes(), self.number.get
+        pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        known = [get(p, -1) for p in pieces]
+        numbers = np.array(known, np.int64)
+        new = np.flatnonzero(numbers < 0).tolist()
         if new:
-            self._learn(list(new))
-        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64)
-        size = self.size[words]
-        end = np.cumsum(size)
-        per_word = np.concatenate([[0], end])
-        per_text = np.cumsum([0, *(len(ws) for ws in lists)])
-        counts = np.diff(per_word[per_text])
-        at = np.arange(size.sum()) + np.repeat(self.start[words] - (end - size), size)
-        plain = self.ids[at]
-        out = np.full(len(plain) + len(texts), END, np.uint32)
-        out[np.arange(len(plain)) + np.repeat(np.arange(len(texts)), counts)] = plain
+            fresh = {pieces[k]: bool(plain[where[k]]) for k in new}
+            self._learn(list(fresh), list(fresh.values()))
+            numbers[new] = [self.number[pieces[k]] for k in new]
+        return numbers[which]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and the number of ids of each."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        data, starts, ends, plain, first = pieces_of(*utf8(column))
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(starts):
+            # A long text is many steps.
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, side="right")))
+            if len(self.number) > WORDS:
+                self.fresh()
+            low, high = starts[at], ends[stop - 1]
+            words = self._numbers(data[low:high], starts[at:stop] - low, ends[at:stop] - low, plain[at:stop])
+            size = self.size[words]
+            spot = np.arange(size.sum()) + np.repeat(self.start[words] - (np.cumsum(size) - size), size)
+            found.append(self.ids[spot])
+            sizes.append(size)
+            at = stop
+        per_word = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        counts = np.diff(per_word[first])
+        plain = np.concatenate(found)
+        out = np.full(len(plain) + len(column), END, np.uint32)
+        out[np.arange(len(plain)) + np.repeat(np.arange(len(column)), counts)] = plain
         return out, counts + 1
 
 
@@ -132,7 +180,7 @@ def encode_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "tex
         words = encoder(path)
         for part in slices(batches, "text"):
             with collector_off():
-                ids, counts = words.encode(part.column("text").to_pylist())
+                ids, counts = words.encode(part.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts)]) * 2
             small = pa.py_buffer(ids.astype("<u2").tobytes())
             binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), small])
@@ -195,7 +243,9 @@ def write_ids(df: DataFrame, folder: str, path: str, id_: str = "doc_id", text:
         if docs:
             yield close()
 
-    ordered = encoded.repartitionByRange("id", F.xxhash64("ids")).sortWithinPartitions("id", "ids")
+    # Range bounds are sampled, so they hold few bytes of a row.
+    by = ["id", F.substring("ids", 1, 64), F.xxhash64("ids")]
+    ordered = encoded.repartitionByRange(*by).sortWithinPartitions(*by)
     arrow_map(ordered, run, _BLOCKS).write.parquet(f"{folder}/blocks")
 
 

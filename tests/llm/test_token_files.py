@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cardwarden.llm import token_files
@@ -95,3 +96,39 @@ def test_unlimited_lengths_are_huffmans_and_limited_ones_optimal():
 
     best = min((np.array(x) * fib).sum() for x in product(range(1, 5), repeat=8) if sum(2.0**-k for k in x) <= 1)
     assert (code_lengths(fib, 4).astype(int) * fib).sum() == best
+
+
+def test_pieces_in_random_words():
+    """Case, digits, signs, contractions, special strings and other scripts in every order, also next to one another in a long text."""
+    import random
+
+    draw = random.Random(4)
+    signs = ["the", "The", "THE", "abcdefgh", "7", "42", "'", "'s", "’s", "-", "...", "é", "É", "ß", "中文", "<", ">", "[UNK]", "</s>", " ", "​", "_", "~", "\x00", "\x7f", "ﬁ"]
+    texts = ["".join(draw.choice([*signs, " ", "\n", "\t"]) for _ in range(draw.randrange(60))) for _ in range(1500)]
+    texts += ["", None, " ", "a" * 100_000, "= " * 50_000, "7" * 1000]
+    ids, counts = token_files.WordEncoder(PATH).encode(texts)
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == ids_of(text), text
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "_range_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    ids, counts = token_files.WordEncoder(PATH).encode(["the cat sat on a mat", "dog"])
+    assert ids.tolist() == ids_of("the cat sat on a mat") + ids_of("dog")
+
+
+def test_a_large_vocabulary_is_an_error(monkeypatch):
+    import tokenizers
+
+    monkeypatch.setattr(tokenizers.Tokenizer, "get_vocab_size", lambda self: 65_537)
+    with pytest.raises(ValueError, match="16 bits"):
+        token_files.WordEncoder(PATH)
+
+
+def test_a_long_text(spark):
+    text = "The quick brown fox, 7 times; l'été 'tis so. " * 500_000
+    got = token_files.round_trip(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), PATH).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).orderBy("doc_id").collect()
+    one = ids_of("The quick brown fox, 7 times; l'été 'tis so.")[:-1]
+    assert [r.n_tokens for r in got] == [500_000 * len(one) + 1, len(ids_of("x"))] and got[1].start == got[0].n_tokens
+    assert got[0].c == zlib.crc32(np.array(one * 500_000 + [2], "<u4").tobytes())

@@ -14,13 +14,13 @@ from ._columns import as_column
 
 # How times and dates are written.
 CLOCK_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}Z$"
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 EPOCH = "1970-01-01 00:00:00"
 
 
 def txn_time(value: str | Column) -> Column:
-    """``2019-01-01 00:12:34`` or ``2023-02-14T06:36:30.258Z``."""
+    """``2019-01-01 00:12:34`` or ``2023-02-14T06:36:30.258Z``, the fraction or not."""
     text = as_column(value).cast("string")
     known = text.rlike(CLOCK_PATTERN) | text.rlike(ISO_PATTERN)
     return F.when(known, F.regexp_replace(text, "Z$", "")).try_cast("timestamp_ntz")

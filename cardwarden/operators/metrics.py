@@ -109,3 +109,39 @@ def auc_thresholded(
         for value in (1, 0)
     ]
     return df.groupBy(*by).agg(((rates[0] + rates[1]) / 2).alias("auc"))
+
+
+#: Bins of a score sketch: scores 0 to 1 in equal steps.
+SKETCH_BINS = 4096
+
+
+def score_sketch(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), bins: int = SKETCH_BINS) -> DataFrame:
+    """Counts of both classes per bin of the score; sketches of days or runs merge by adding up (``merge_sketches``).
+
+    A sketch has at most ``bins`` rows for each group, however many rows it was made of. Scores outside 0 to 1 count as the nearest of these, NaN as 1.
+    """
+    scored = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    place = F.floor(F.when(F.isnan(score), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double")))) * bins)
+    return scored.groupBy(*by, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) != 1, 1)).alias("neg")
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The sketch of all rows behind several, per group; pairs of bins have the same bounds in all."""
+    return sketches.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def sketch_auc(sketch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``auc`` per group and ``error``, what it differs by at most from the exact value.
+
+    Pairs in different bins are counted as they are, and those in one bin as ties, so each of these is wrong by a half at most.
+    """
+    below = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sketch.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    own = F.col("pos").cast("double") * F.col("neg")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(F.col("pos").cast("double") * F.col("below") + own / 2).alias("won"), F.sum(own / 2).alias("tied"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    pairs = F.col("pos").cast("double") * F.col("neg")
+    return sums.select(*by, F.try_divide(F.col("won"), pairs).alias("auc"), F.try_divide(F.col("tied"), pairs).alias("error"))

@@ -24,6 +24,11 @@ def log_run(
     row.coalesce(1).write.mode("append").parquet(path)
 
 
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Append many runs, one row each with the columns of a log, in one distributed write."""
+    runs.select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields]).write.mode("append").parquet(path)
+
+
 def latest_run(runs: DataFrame, name: str) -> DataFrame:
     """The last run started under a name."""
     return runs.where(F.col("name") == name).orderBy(F.desc("start_time"), F.desc("run_id")).limit(1)
@@ -36,9 +41,14 @@ def promoted(
     return runs.where(F.col(metric) > floor)
 
 
-def model_in_use(runs: DataFrame, name: str, floor: float = PROMOTION_FLOOR) -> str:
-    """Where the model of the last promoted run under a name is; without one there is nothing to use."""
+def run_in_use(runs: DataFrame, name: str, floor: float = PROMOTION_FLOOR) -> tuple[str, str]:
+    """The last promoted run under a name, and where its model is; without one there is nothing to use."""
     row = latest_run(promoted(runs, floor), name).first()
     if row is None:
         raise LookupError(f"no run of {name} has an AUC above {floor}")
-    return row["model_path"]
+    return row["run_id"], row["model_path"]
+
+
+def model_in_use(runs: DataFrame, name: str, floor: float = PROMOTION_FLOOR) -> str:
+    """Where the model of the last promoted run under a name is."""
+    return run_in_use(runs, name, floor)[1]

@@ -188,6 +188,28 @@ def mixed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of cards that have some; every third card's cash is halved on a day within the range."""
+    rules = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    rows = rules.selectExpr(
+        "cast(c_custkey as string) as cc_num", "50.0D * (c_custkey % 10) as ACCT_CL_AMT",
+        "inline(filter(array(named_struct('valid_from', cast(null as timestamp_ntz), 'ACCT_AVL_CASH_BEFORE_AMT', c_acctbal),"
+        " named_struct('valid_from', timestamp_ntz'2024-01-10 12:00:00', 'ACCT_AVL_CASH_BEFORE_AMT', if(c_custkey % 3 = 0, c_acctbal / 2, null))),"
+        " r -> r.valid_from is null or c_custkey % 3 = 0))",
+    )
+    return stage(rows, "dated_rules")
+
+
+def broken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a message; some are cut off, some no JSON, some no object, some empty."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id as string) as key",
+        "case when event_id % 11 = 0 then concat('{\"trans_num\": \"', cast(event_id as string), '\", \"am')"
+        " when event_id % 13 = 0 then '{bad' when event_id % 17 = 0 then '[1, 2]' when event_id % 19 = 0 then ' ' when event_id % 23 = 0 then null"
+        " else concat('{\"trans_num\": \"', cast(event_id as string), '\", \"amt\": \"', cast(user_id as string), '\"}') end as value",
+    )
+
+
 def with_score(df: DataFrame) -> DataFrame:
     """A fixed score in place of a model."""
     return df.withColumn("score", F.col("amt") / F.lit(500.0))

@@ -16,7 +16,7 @@ from ..operators.features import ENCODED, build_features, separate, training_set
 from ..functions import over
 from ..operators.metrics import auc, auc_thresholded, confusion, report
 from ..operators.rules import LIMIT_RULES, THRESHOLD, RuleSet
-from ..operators.runs import log_run, model_in_use
+from ..operators.runs import log_run, model_in_use, run_in_use
 from ..operators.spend import user_spend
 from ..schemas import RUNS
 from ..session import stage
@@ -24,9 +24,9 @@ from ..sources import write_feature_table, write_table
 from ..streaming import (
     foreach_batch_stream,
     load_dictionary,
+    promoted_verdict_batches,
     refreshing_features,
     save_dictionary,
-    verdict_batches,
 )
 
 # Default table and run names.
@@ -144,11 +144,12 @@ def start_verdict_stream(
     every: str | None = None,
     rule_set: RuleSet = LIMIT_RULES,
 ) -> StreamingQuery:
-    """Keep verdict rows for a stream of raw transactions up to date, by the promoted model; limits
-    are read per batch."""
+    """Keep verdict rows for a stream of raw transactions up to date, by the promoted model; model, limits and
+    dictionaries are looked up per batch. Without a promoted model the stream does not start."""
     spark = raw.sparkSession
-    process = verdict_batches(
-        lambda: saved_dictionaries(spark, dictionary_dir), load_rules,
-        promoted_model(spark, runs_path), target, checkpoint, rule_set,
+    in_use = lambda: run_in_use(spark.read.schema(RUNS).parquet(runs_path), RUN_NAME)
+    in_use()
+    process = promoted_verdict_batches(
+        lambda: saved_dictionaries(spark, dictionary_dir), load_rules, in_use, target, checkpoint, rule_set
     )
     return foreach_batch_stream(raw, process, checkpoint, every)

@@ -300,6 +300,39 @@ ORACLE = {
                                 and l.trans_num = raw.trans_num)""",
     "upsert_latest": LATEST,
     "merged_latest": LATEST,
+    "incremental_index_load": f"with {RAW} select trans_num, cc_num, category, amt from raw",
+    "messages_quarantined": """
+        select case when event_id % 11 = 0 or event_id % 13 = 0 then 'unreadable' when event_id % 17 = 0 then 'no object'
+                    when event_id % 19 = 0 or event_id % 23 = 0 then 'empty' else 'good' end side,
+               cast(event_id as varchar) "key",
+               case when event_id % 11 = 0 then concat('{"trans_num": "', cast(event_id as varchar), '", "am') when event_id % 13 = 0 then '{bad'
+                    when event_id % 17 = 0 then '[1, 2]' when event_id % 19 = 0 then ' ' when event_id % 23 = 0 then null
+                    else cast(user_id as varchar) end "content"
+        from events""",
+    "auc_of_days": """
+        with binned as (
+          select least(cast(floor(greatest(0.0, least(1.0, value / 500)) * 4096) as int), 4095) bin,
+                 sum(case when event_type = 'error' and value > 100 then 1 else 0 end)::double pos,
+                 sum(case when event_type = 'error' and value > 100 then 0 else 1 end)::double neg
+          from events where value is not null group by 1),
+        ranked as (
+          select *, coalesce(sum(neg) over (order by bin rows between unbounded preceding and 1 preceding), 0) below from binned)
+        select round(sum(pos * below + pos * neg / 2) / (sum(pos) * sum(neg)), 6) auc,
+               round(sum(pos * neg / 2) / (sum(pos) * sum(neg)), 6) error
+        from ranked""",
+    "rules_in_force": """
+        with txn as (
+          select cast(event_id as varchar) trans_num, cast(user_id as varchar) cc_num, value amt, ts,
+                 case when c_custkey % 7 = 0 then null
+                      when c_custkey % 3 = 0 and ts >= timestamp '2024-01-10 12:00:00' then c_acctbal / 2 else c_acctbal end cash,
+                 case when c_custkey % 7 <> 0 then 50.0 * (c_custkey % 10) end credit
+          from events join customer on c_custkey = user_id),
+        judged as (
+          select *, case when ts < timestamp '2024-01-05' then null when ts < timestamp '2024-01-20' then 'limits-1' else 'limits-2' end rule_version,
+                 case when ts < timestamp '2024-01-05' then null when ts >= timestamp '2024-01-20' and amt > 200 then 'large'
+                      when amt > cash then 'cash' when amt > credit then 'credit' end first_rule
+          from txn)
+        select trans_num, cc_num, cash ACCT_AVL_CASH_BEFORE_AMT, first_rule, cast(first_rule is not null as int) "case", rule_version from judged""",
     "verdict_replayed": _VERDICTS,
     "change_feed_applied": """
         with feed as (
@@ -343,16 +376,9 @@ ORACLE = {
         select cast(event_id as varchar) txn_num, ts + (event_id % 90) * interval 1 second status_ts,
                case when value > 250 then 'REJECTED' else 'AUTHORIZED' end txn_status
         from events where event_id % 5 <> 0 and value > 100""",
-    "gbt_scores": f"""with {RAW}
-        select trans_num _id, cast(is_fraud as int) is_fraud, true is_probability from raw""",
-    "gbt_importances": """
-        select unnest(['amt', 'cat_id', 'city_pop', 'day', 'hour', 'lat', 'long', 'merch_lat',
-                       'merch_long', 'month', 'zip']) feature,
-               true is_share, true all_descend_to_one""",
     "gbt_reload_check": f"""with {RAW}
         select trans_num _id, true is_equal from raw
         where cast(('0x' || substr(md5(trans_num), 1, 8)) as bigint) % 100 >= 80""",
-    "gbt_stream_scores": f"with {RAW} select trans_num, true is_probability from raw",
     "logged_runs": f"""with {RUNS}
         select run_id, name, n_estimators, auc, auc auc_thresholded from runs where auc is not null""",
     "promoted_model_used": f"with {RAW} select trans_num _id, true is_equal from raw",

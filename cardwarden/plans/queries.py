@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 from .. import functions as fn
 from ..operators import dictionary as dic
 from ..operators import features as feat
-from ..operators import find, metrics, model, quality, rules, runs, spend, verdicts
+from ..operators import find, metrics, model, quality, rule_history, rules, runs, spend, verdicts
 from ..operators.ranking import latest_rows
 from ..schemas import MODEL_FEATURES, RUNS
 from ..session import parts_of, scratch_path, settings, stage
 from ..sources import (
+    IndexedTable,
     MergedTable,
     append_batch,
     apply_changes,
@@ -28,7 +29,10 @@ from ..sources import (
     from_messages,
     keep_latest,
     load_new_files,
+    message_sink,
     new_only,
+    read_broken,
+    read_good,
     read_latest,
     read_source,
     to_messages,
@@ -369,6 +373,20 @@ def user_rules(spark, sf_dir):
     )
 
 
+@query
+def rules_in_force(spark, sf_dir):
+    """Rule sets that change twice and limits that change once, each transaction by those of its time."""
+    txn = inputs.card_events(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("trans_num"), F.col("user_id").cast("string").alias("cc_num"), F.col("value").alias("amt"), F.col("ts").cast("timestamp_ntz").alias("ts")
+    )
+    limits = inputs.dated_rules(spark, sf_dir)
+    burst = rules.RuleSet("limits-2", (rules.Rule("large", "amt > 200"), *rules.LIMIT_RULES.rules))
+    history = [(datetime(2024, 1, 20), burst), (datetime(2024, 1, 5), rules.LIMIT_RULES)]
+    attached = rule_history.limits_in_force(txn, limits, "ts", "valid_from")
+    judged = rule_history.cascade_in_force(attached, history, "ts")
+    return judged.select("trans_num", F.col("cc_num").cast("string").alias("cc_num"), "ACCT_AVL_CASH_BEFORE_AMT", "first_rule", "case", "rule_version")
+
+
 @query
 def txn_verdict(spark, sf_dir):
     scored = rules.combine(rules.cascade(_limits(spark, sf_dir)))
@@ -466,6 +484,17 @@ def promotion_gate(spark, sf_dir):
     return runs.promoted(_daily_runs(spark, sf_dir), metric="auc")
 
 
+@query
+def auc_of_days(spark, sf_dir):
+    """AUC of all rows from one bounded sketch per day, and what it may be off by."""
+    scored = inputs.table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("day"), (F.col("value") / F.lit(500.0)).alias("score"), F.expr("cast(event_type = 'error' and value > 100 as int)").alias("is_fraud")
+    )
+    days = stage(metrics.score_sketch(scored, "is_fraud", "score", ("day",)), "sketches")
+    found = metrics.sketch_auc(metrics.merge_sketches(days))
+    return found.select(F.round("auc", 6).alias("auc"), F.round("error", 6).alias("error"))
+
+
 @query
 def latest_run(spark, sf_dir):
     return runs.latest_run(_daily_runs(spark, sf_dir), "loose")
@@ -483,6 +512,31 @@ def incremental_load(spark, sf_dir):
     return new_only(raw, loaded, "trans_num")
 
 
+@query
+def incremental_index_load(spark, sf_dir):
+    """Three loads, each with the rows before it, into a table whose index says which files may hold a key."""
+    raw = inputs.raw_txn(spark, sf_dir).select("trans_num", "cc_num", "category", "amt")
+    raw = stage(raw, "raw")
+    table = IndexedTable(spark, scratch_path(spark, "indexed"), raw.schema, "trans_num", max(4, parts_of(raw)))
+    part = F.pmod(F.xxhash64("trans_num"), F.lit(3))
+    for batch_id in range(3):
+        table.load(raw.where(part <= batch_id), "loads", batch_id)
+    table.load(raw, "loads", 2)
+    return table.read()
+
+
+@query
+def messages_quarantined(spark, sf_dir):
+    """Messages, some broken, split by a stream: which could be read, and the text of the others."""
+    path = scratch_path(spark, "messages")
+    schema = T.StructType([T.StructField("trans_num", T.StringType()), T.StructField("amt", T.StringType())])
+    inputs.broken_messages(spark, sf_dir).write.parquet(f"{path}/topic")
+    arriving = streaming_source(spark, f"{path}/topic/", T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
+    foreach_batch_stream(arriving, message_sink(f"{path}/out", schema, f"{path}/checkpoint"), f"{path}/checkpoint").awaitTermination()
+    good = read_good(spark, f"{path}/out", schema).select(F.lit("good").alias("side"), F.col("trans_num").alias("key"), F.col("amt").alias("content"))
+    return good.unionByName(read_broken(spark, f"{path}/out").select(F.col("reason").alias("side"), "key", F.col("value").alias("content")))
+
+
 @query
 def upsert_latest(spark, sf_dir):
     """Last transaction per card after three upserts whose times overlap."""
@@ -783,23 +837,17 @@ def _trained(spark, sf_dir):
 
 @query
 def gbt_scores(spark, sf_dir):
-    """Every transaction, and whether its score is a probability."""
+    """Every transaction with its score."""
     features, _, fitted = _trained(spark, sf_dir)
     scored = model.score(features, fitted, "prediction")
-    return scored.select("_id", "is_fraud", F.col("prediction").between(0, 1).alias("is_probability"))
+    return scored.select("_id", "is_fraud", "prediction", F.col("prediction").between(0, 1).alias("is_probability"))
 
 
 @query
 def gbt_importances(spark, sf_dir):
-    """The features, whether each one's importance is a share, and whether all are in order and add up."""
+    """The features and their importance, the greatest first."""
     _, _, fitted = _trained(spark, sf_dir)
-    listed = [tuple(r) for r in model.importances(spark, fitted).collect()]
-    values = [v for _, v in listed]
-    fine = values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-9
-    found = spark.createDataFrame(listed, "feature string, importance double")
-    return found.select(
-        "feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(fine).alias("all_descend_to_one")
-    )
+    return model.importances(spark, fitted)
 
 
 @query
@@ -814,22 +862,20 @@ def gbt_reload_check(spark, sf_dir):
 
 @query
 def gbt_stream_scores(spark, sf_dir):
-    """Every streamed transaction, and whether its score is a probability."""
+    """Every streamed transaction with its score."""
     _, _, fitted = _trained(spark, sf_dir)
     features = feature_stream(_raw_stream(spark, sf_dir), _dictionaries(spark, sf_dir))
     scored = model.score(feat.model_inputs(features), fitted, "prediction")
     is_probability = F.col("prediction").between(0, 1).alias("is_probability")
-    return _run_append(scored.select("trans_num", is_probability), "scores")
+    return _run_append(scored.select("trans_num", "prediction", is_probability), "scores")
 
 
 @query
 def logged_runs(spark, sf_dir):
     """The evaluation of each day logged as a run, and the log read back."""
     path = scratch_path(spark, "runs")
-    for r in _daily_runs(spark, sf_dir).where("auc is not null").collect():
-        runs.log_run(
-            spark, path, r["run_id"], r["name"], r["start_time"], r["n_estimators"], r["auc"], r["auc"], "none"
-        )
+    daily = _daily_runs(spark, sf_dir).where("auc is not null")
+    runs.log_runs(daily.select("*", F.col("auc").alias("auc_thresholded"), F.lit("none").alias("model_path")), path)
     log = spark.read.schema(RUNS).parquet(path)
     return log.select("run_id", "name", "n_estimators", "auc", F.col("auc_thresholded"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import build_features, model_inputs
-from ..operators.model import score
+from ..operators.model import load, score
 from ..operators.ranking import latest_rows
 from ..operators.rules import LIMIT_RULES, THRESHOLD, RuleSet, attach_rules, cascade, combine
 from ..operators.verdicts import (
@@ -19,6 +20,7 @@ from ..operators.verdicts import (
     timeout_reply,
     verdict,
 )
+from ..sources.commits import Files
 from ..sources.upserts import append_batch, writer_of
 
 
@@ -63,6 +65,38 @@ def verdict_batches(
     return process
 
 
+def promoted_verdict_batches(
+    load_dictionaries: Callable[[], Mapping[str, DataFrame]],
+    load_rules: Callable[[], DataFrame],
+    run_in_use: Callable[[], tuple[str, str]],
+    target: str,
+    checkpoint: str,
+    rule_set: RuleSet = LIMIT_RULES,
+) -> Callable[[DataFrame, int], None]:
+    """Like ``verdict_batches``, by the model that is promoted when a micro-batch begins; verdicts carry its ``run_id``.
+
+    ``run_in_use`` gives that run and where its model is. The choice is written down before the batch is scored, so a batch that is
+    run again is scored by the same model, whatever has been promoted since. A model is loaded when it changes.
+    """
+    writer = writer_of(checkpoint)
+    loaded: dict[str, PipelineModel] = {}
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        files = Files(batch.sparkSession, target)
+        choice = f"_models/{writer}-{batch_id}.json"
+        if f"{writer}-{batch_id}.json" not in files.names("_models"):
+            files.create(choice, json.dumps(run_in_use()))
+        run_id, path = json.loads(files.read(choice))
+        if path not in loaded:
+            loaded.clear()
+            loaded[path] = load(path)
+        rows = verdict_stream(batch, load_dictionaries(), load_rules(), loaded[path], rule_set)
+        rows = latest_rows(rows, "txn_num", ["txn_status"]).withColumn("run_id", F.lit(run_id))
+        append_batch(rows, target, batch_id, writer)
+
+    return process
+
+
 def verdict_within_stream(
     txn: DataFrame,
     status: DataFrame,

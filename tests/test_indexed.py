@@ -1,0 +1,58 @@
+"""Loads that read only files that may hold a key."""
+
+import numpy as np
+from pyspark.sql import types as T
+
+from cardwarden.sources import IndexedTable
+from cardwarden.sources.indexed import bloom, may_hold
+from tests.test_commits import parallel
+
+ROW = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
+
+
+def rows(spark, keys, v=0):
+    return spark.createDataFrame([(k, v) for k in keys], ROW)
+
+
+def test_filters_hold_their_keys_and_few_others():
+    draw = np.random.default_rng(1)
+    h1, h2, g1, g2 = draw.integers(-(1 << 63), (1 << 63) - 1, (4, 20_000))
+    own = bloom(h1, h2)
+    assert may_hold(own, h1, h2).all() and may_hold(own, g1, g2).mean() < 0.015 and 8 * len(own) <= 10 * 20_000 + 64
+
+
+def test_loads_add_new_keys_and_read_few_files(spark, tmp_path):
+    table = IndexedTable(spark, str(tmp_path), ROW, "k", buckets=8)
+    assert table.read().count() == 0
+    assert table.load(rows(spark, [f"k{i}" for i in range(4000)]), "w", 0) == 4000 and table.files_read == (0, 0)
+    # New keys, out of all bounds or not: next to nothing is read.
+    assert table.load(rows(spark, [f"z{i}" for i in range(300)]), "w", 1) == 300 and table.files_read == (0, 8)
+    assert table.load(rows(spark, [f"k{i}.5" for i in range(30)]), "w", 2) == 30 and table.files_read[0] <= 3
+    # Two known keys are in two files at most.
+    assert table.load(rows(spark, ["k7", "k8", "new", "new", None], 9), "w", 3) == 1 and table.files_read[0] <= 3
+    assert table.load(rows(spark, ["k7", "later"]), "w", 3) is None
+    got = {r["k"]: r["v"] for r in table.read().collect()}
+    assert len(got) == table.read().count() == 4331 and got["k7"] == 0 and got["new"] == 9 and "later" not in got
+    # Squashed, the table is the same and its index too.
+    assert table.squash(1) >= 8 and table.squash(1) == 0 and table.read().count() == 4331
+    assert table.load(rows(spark, ["k7", "z9", "new", "last"]), "w", 4) == 1 and table.files_read[1] == 8
+    assert table.load(rows(spark, []), "w", 5) == 0 and table.read().count() == 4332
+
+
+def test_loads_at_once_give_each_key_once(spark, tmp_path):
+    def work(writer):
+        table = IndexedTable(spark, str(tmp_path), ROW, "k", buckets=3)
+        return [table.load(rows(spark, [f"k{j}" for j in range(i * 20, i * 20 + 40)], writer), f"w{writer}", i) for i in range(3)]
+
+    counts = parallel(*[lambda w=w: work(w) for w in range(3)])
+    found = [r["k"] for r in IndexedTable(spark, str(tmp_path), ROW, "k").read().collect()]
+    assert len(found) == len(set(found)) == 80 == sum(map(sum, counts))
+
+
+def test_numbers_as_keys(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.IntegerType())])
+    table = IndexedTable(spark, str(tmp_path), schema, "k", buckets=2)
+    one = spark.createDataFrame([(i, 0) for i in range(100)], schema)
+    assert table.load(one, "w", 0) == 100
+    assert table.load(spark.createDataFrame([(i, 0) for i in range(90, 110)], schema), "w", 1) == 10
+    assert table.load(spark.createDataFrame([(i, 0) for i in range(200, 300)], schema), "w", 2) == 100 and table.files_read[0] == 0

@@ -71,3 +71,30 @@ def test_class_never_predicted_scores_zero(scored):
     got = {r["label"]: r for r in lines.collect()}
     assert (got["1"]["precision"], got["1"]["recall"], got["1"]["f1_score"]) == (0.0, 0.0, 0.0)
     assert got["0"]["recall"] == 1.0
+
+
+def test_sketches_merge_within_their_bound(spark):
+    import random
+
+    from cardwarden.operators.metrics import auc, merge_sketches, score_sketch, sketch_auc
+
+    draw = random.Random(2)
+    rows = [(d, int(draw.random() < 0.3), draw.random()) for d in "abc" for _ in range(700)]
+    rows = [(d, y, min(1.0, s + 0.2 * y)) for d, y, s in rows] + [("a", 1, None), ("a", None, 0.5), ("b", 0, -1.0), ("b", 1, 2.0)]
+    df = spark.createDataFrame(rows, "day string, y int, s double")
+    exact = auc(df, "y", "s").first()["auc"]
+    errors = []
+    for bins in (4096, 64, 3):
+        days = score_sketch(df, "y", "s", ("day",), bins)
+        assert days.groupBy("day").count().where(f"count > {bins}").count() == 0
+        found = sketch_auc(merge_sketches(days)).first()
+        assert abs(found["auc"] - exact) <= found["error"] + 1e-12
+        assert found == sketch_auc(score_sketch(df, "y", "s", bins=bins)).first()
+        errors.append(found["error"])
+        by_day = {r["day"]: r for r in sketch_auc(merge_sketches(days, ("day",)), ("day",)).collect()}
+        for d in "abc":
+            own = auc(df.where(df.day == d), "y", "s").first()["auc"]
+            assert abs(by_day[d]["auc"] - own) <= by_day[d]["error"] + 1e-12
+    assert errors[0] < 0.002 and errors == sorted(errors)
+    assert sketch_auc(score_sketch(df.limit(0), "y", "s")).first()["auc"] is None
+    assert sketch_auc(score_sketch(df.where("y = 1"), "y", "s")).first()["auc"] is None

@@ -42,7 +42,8 @@ def normal(names, rows):
 def test_registry_is_consistent():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     names, sql = set(QUERIES), set(ORACLE)
-    assert names == sql
+    # What a model gives is no matter of SQL: tests/test_model.py walks its trees.
+    assert names - sql == {"gbt_scores", "gbt_importances", "gbt_stream_scores"} and sql <= names
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

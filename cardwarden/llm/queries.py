@@ -48,7 +48,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language.train(documents.where(~language.held_out()))
     found = language.identify(documents, model)
-    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

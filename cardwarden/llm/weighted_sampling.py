@@ -5,8 +5,9 @@ function word counts for less than a rare one. For every term and sample, two ga
 turn the weight into a value, and the term with the least value is the sample, together with the step of its weight. Two texts have the
 same sample with a probability equal to their generalised Jaccard similarity. The fingerprint holds 16 bits of each sample.
 
-Defined cases: NULL and empty text have the fingerprint of zeros, equal to each other and like no other; repeated rows and ids are taken in the order
-of their texts; a row without id comes last; a single document is followed by itself. Extra columns are ignored.
+Defined cases: NULL and empty text have the fingerprint of zeros, equal to each other and like no other; equal ids are in the order of the first 64 signs of their texts,
+then of a hash, repeated rows as they come; a row without id comes last; a single document is followed by itself. Extra columns are ignored. A very long text is one step: a task needs some 100 times its bytes,
+so 20 MB are 2 GB.
 """
 
 from __future__ import annotations
@@ -15,17 +16,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .common import arrow_map, slices, utf8
 from .substrings import _mix, _range_hash, word_bounds
 
 SAMPLES = 64
-#: Ranges of ids for each shuffle partition; the more, the more even.
-RANGES = 8
 #: Text bytes of one vectorised step.
 STEP = 600_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,68 +96,97 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - third] + after[:third]
 
 
+_FINGERPRINT = "id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def _in_order(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """Ranges of falling ids, each a sorted run that ends with the first row of the range after it.
+    """Rows in ranges of falling ids, each range sorted; Spark sizes the ranges by their rows and merges small ones by their bytes.
 
-    Rows move once. What the driver sees are the bounds and the greatest id of each range.
+    Ties of an id are in the order of the first signs of their texts, then of a hash, so a hot id is many ranges; repeated rows are told apart by their number.
     """
-    spark = df.sparkSession
-    plain = df.select(F.col(id_).alias("id"), F.coalesce(F.col(id_).cast("long"), F.lit(FIRST_ID)).alias("place"), F.col(text).alias("text"))
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    probes = [k / ranges for k in range(1, ranges)]
-    cuts = np.unique(np.array(df.select(F.col(id_).cast("double").alias("id")).approxQuantile("id", probes, 0.25 / ranges), np.float64))
-    sent = spark.sparkContext.broadcast(cuts.astype(np.int64))
-
-    @F.pandas_udf("long")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(sent.value, place.to_numpy(), side="right"))
-
-    heads = plain.select("place", range_of("place").alias("range")).groupBy("range").agg(F.max("place").alias("head")).collect()
-    heads = sorted((r["range"], r["head"]) for r in heads)
-    # The head of a range also ends the range above it, the greatest of all ends the lowest.
-    targets = {head: heads[(k + 1) % len(heads)][0] for k, (_, head) in enumerate(heads)}
-    at = np.array(sorted(targets), np.int64)
-    ends = spark.sparkContext.broadcast((at, np.array([targets[h] for h in at.tolist()], np.int64)))
-
-    @F.pandas_udf("long")
-    def also_in(place: pd.Series) -> pd.Series:
-        at, to = ends.value
-        values = place.to_numpy()
-        spot = np.minimum(np.searchsorted(at, values), len(at) - 1)
-        return pd.Series(np.where(at[spot] == values, to[spot], -1))
-
-    own = F.struct(range_of("place").alias("range"), F.lit(False).alias("copy"))
-    copy = F.struct(also_in("place").alias("range"), F.lit(True).alias("copy"))
-    dealt = plain.withColumn("to", F.array(own, copy)).select("id", "place", "text", F.explode("to").alias("to"))
-    dealt = dealt.where("to.range >= 0").select("id", "place", "text", "to.range", "to.copy")
-    return dealt.repartition("range").sortWithinPartitions("range", "copy", F.desc("place"), "text")
+    place = F.coalesce(F.col(id_).cast("long"), F.lit(FIRST_ID))
+    plain = df.select(F.col(id_).alias("id"), place.alias("place"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("copy"))
+    by = [F.desc("place"), F.substring("text", 1, 64), F.xxhash64("text"), F.col("copy")]
+    return plain.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "text")
+
+
+def _compared(ids: list, texts: list[str], nexts: list[str], samples: int, kind: pa.DataType) -> dict[str, pa.Array]:
+    """The result's columns for documents and those after them."""
+    changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
+    # In a run of documents the next one's signature is needed anyway.
+    distinct = list(dict.fromkeys([*texts, *nexts]))
+    both = signatures(distinct + changed, samples)
+    at = {t: i for i, t in enumerate(distinct)}
+    own, then, other = both[[at[t] for t in texts]], both[[at[n] for n in nexts]], both[len(distinct) :]
+    show = lambda prints: [p.astype(">u2").tobytes().hex() for p in prints]
+    return {
+        "id": pa.array(ids, kind), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+        "fingerprint": pa.array(show(own)), "edited_fingerprint": pa.array(show(other)),
+        "near_edited": pa.array(likeness(own, other)), "near_next": pa.array(likeness(own, then)),
+    }
 
 
 def fingerprint_rows(df: DataFrame, id_: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Fingerprints of every text, of its edited version, and how alike these and the next document's are."""
+    """Fingerprints of every text, of its edited version, and how alike these and the next document's are.
+
+    A task has one range and compares each of its documents with the next. The last of a range meets the first of the next range in a second, small step: two texts for each range.
+    """
+    spark = df.sparkSession
     kind = df.schema[id_].dataType.simpleString()
-    schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = _FINGERPRINT.format(kind=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple] = []
-        for part in slices(batches, "text", STEP):
-            rows = before + list(zip(*(part.column(c).to_pylist() for c in ("id", "text", "range", "copy")), strict=True))
-            before = rows[-1:]
-            texts = [r[1] or "" for r in rows]
-            pairs = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
-            if not pairs:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        last: tuple | None = None
+        type_ = None
+
+        def edge(end: str, row: tuple) -> pa.RecordBatch:
+            values = {"id": pa.array([row[0]], type_), "end": pa.array([end]), "part": pa.array([part], pa.int64()), "text": pa.array([row[1]], pa.string())}
+            return _filled(values)
+
+        for piece in slices(batches, "text", STEP):
+            if not piece.num_rows:
                 continue
-            changed = [edited(texts[i], texts[i + 1]) for i in pairs]
-            both = signatures(texts + changed, samples)
-            plain, other = both[: len(texts)], both[len(texts) :]
-            own, then = plain[pairs], plain[[i + 1 for i in pairs]]
-            show = lambda prints: [p.astype(">u2").tobytes().hex() for p in prints]
-            yield pa.RecordBatch.from_pydict({
-                "id": pa.array([rows[i][0] for i in pairs], part.schema.field("id").type),
-                "n_chars": pa.array([len(texts[i]) for i in pairs], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                "fingerprint": pa.array(show(own)), "edited_fingerprint": pa.array(show(other)),
-                "near_edited": pa.array(likeness(own, other)), "near_next": pa.array(likeness(own, then)),
-            })
-
-    return arrow_map(_in_order(df, id_, text), run, schema).withColumnRenamed("id", id_)
+            type_ = piece.schema.field("id").type
+            rows = list(zip(piece.column("id").to_pylist(), [t or "" for t in piece.column("text").to_pylist()], strict=True))
+            if last is None:
+                yield edge("first", rows[0])
+            else:
+                rows.insert(0, last)
+            last = rows[-1]
+            if len(rows) > 1:
+                ids, texts = zip(*rows, strict=True)
+                yield _filled(_compared(list(ids[:-1]), list(texts[:-1]), list(texts[1:]), samples, type_))
+        if last is not None:
+            yield edge("last", last)
+
+    made = stage(arrow_map(_in_order(df, id_, text), run, f"{schema}, end string, part long, text string"), "fingerprints")
+    ends = made.where("end is not null").select("part", "end", "id", "text")
+    # One number for each range.
+    parts = sorted(r[0] for r in ends.where("end = 'first'").select("part").collect())
+    follows = spark.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1], strict=True)], "part long, after long")
+    firsts = ends.where("end = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next"))
+    edges = ends.where("end = 'last'").join(F.broadcast(follows), "part").join(firsts, "after").select("id", "text", "next")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", STEP):
+            ids, texts, nexts = (piece.column(c).to_pylist() for c in ("id", "text", "next"))
+            yield pa.RecordBatch.from_pydict(_compared(ids, texts, nexts, samples, piece.schema.field("id").type))
+
+    inner = made.where("end is null").drop("end", "part", "text")
+    return inner.unionByName(arrow_map(edges, across, schema)).withColumnRenamed("id", id_)
+
+
+_EMPTY = [
+    ("id", None), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+    ("near_next", pa.float64()), ("end", pa.string()), ("part", pa.int64()), ("text", pa.string()),
+]
+
+
+def _filled(values: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of all columns; those that are not given are NULL."""
+    n = len(values["id"])
+    return pa.RecordBatch.from_pydict({name: values[name] if name in values else pa.nulls(n, type_) for name, type_ in _EMPTY})

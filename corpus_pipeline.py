@@ -39,10 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row_key().alias("key")))
     grouped = simhash.near_duplicates(docs.select(row.alias("id"), "text"), "id")
     counted = grouped.where(F.col("id") == F.col("component_id")).groupBy("id.doc_id", "id.key").agg(F.count("*").alias("n"))
-    chosen = stage(counted.select("doc_id", F.col("key").alias("_key"), "n"), "chosen")
-    keyed = docs.withColumn("_key", row_key())
-    single = keyed.join(chosen.where("n = 1"), ["doc_id", "_key"], "left_semi")
-    once = keyed.join(chosen.where("n > 1"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    chosen = stage(counted.select("doc_id", F.col("key").alias(name), "n"), "chosen")
+    keyed = docs.withColumn(name, row_key())
+    single = keyed.join(chosen.where("n = 1"), ["doc_id", name], "left_semi")
+    once = keyed.join(chosen.where("n > 1"), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
     nameless = keyed.where(F.col("doc_id").isNull())
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return single.select(columns).unionByName(once.select(columns)).unionByName(nameless.select(columns))

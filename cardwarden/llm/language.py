@@ -43,8 +43,10 @@ SAMPLE_BYTES = 256_000_000
 ASIDE = 5
 #: Texts set aside that limits can be fitted on; with fewer none are.
 LEAST_ASIDE = 100
+#: Bytes of the texts that are taken together; each needs some 80 in arrays.
+BYTES = 500_000
 #: Code points of a text that are taken at a time.
-STEP = 4_000_000
+STEP = 500_000
 UNKNOWN = "und"
 MARK = 32
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -267,7 +269,7 @@ def train(df: DataFrame, label: str = "lang", text: str = "text", rows: int = SA
     near = known.join(F.broadcast(wanted), "l").where(F.col("h") <= F.col("most")).select("text", "l", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BYTES):
             bags = bags_of(part.column("text"))
             ids = [b[0].astype("<u4").tobytes() for b in bags]
             counts = [b[1].astype("<i8").tobytes() for b in bags]
@@ -297,7 +299,7 @@ def identify(df: DataFrame, model: Model, id_: str = "doc_id", text: str = "text
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BYTES):
             names, score, rejected = sent.value.predict(part.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "id": part.column("id"), "row": part.column("row"), "lang_pred": pa.array(names, pa.string()),

@@ -19,12 +19,12 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 CHUNK = 256
 #: States kept before the second transducer starts afresh; some 200 MB.
 STATES = 300_000
 
-_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Symbols of the first transducer; the last two are apostrophes that begin a contraction of two or three characters.
 SPACE, LETTER, NUMBER, OTHER, TWO, THREE = range(6)
 # Its states: between words, in letters, in other signs, two or one characters of a contraction to come, after a closed word.
@@ -54,19 +54,20 @@ _TO, _BEGINS = _first_machine()
 
 @lru_cache(maxsize=1)
 def character_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower case and symbol class of every code point."""
-    low, kind = np.arange(0x110000, dtype=np.uint32), np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        ch = chr(c)
-        group = unicodedata.category(ch)[0]
-        if group == "L":
-            kind[c] = LETTER
-        elif group == "N":
-            kind[c] = NUMBER
-        small = ch.lower()
-        if small != ch and len(small) == 1:
-            low[c] = ord(small)
-    kind[_SPACE] = SPACE
+    """Lower case and symbol class of every code point, both as the tokenizer library knows them: its Unicode version is not Python's."""
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)], np.uint32)
+    every = points.tobytes().decode("utf-32-le")
+    kind = np.full(0x110000, OTHER, np.uint8)
+    for symbol, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+        for _, (begin, end) in runs:
+            kind[points[begin:end]] = symbol
+    low = np.arange(0x110000, dtype=np.uint32)
+    # Marked off one by one, as a lower case may have two code points; the mark's own line would be split.
+    mark = points != 10
+    small = normalizers.Lowercase().normalize_str("\n".join(every.replace("\n", ""))).split("\n")
+    single = np.array([len(x) == 1 for x in small])
+    low[points[mark][single]] = np.frombuffer("".join(x for x in small if len(x) == 1).encode("utf-32-le"), np.uint32)
     return low, kind
 
 

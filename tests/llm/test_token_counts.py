@@ -46,6 +46,12 @@ def test_random_texts(texts):
     assert transducer(PATH).count(texts).tolist() == [library(t) for t in texts]
 
 
+def test_every_code_point_between_words():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    texts = [" ".join(f"a{chr(c)}b" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    assert transducer(PATH).count(texts).tolist() == [library(t) for t in texts]
+
+
 def test_states_may_be_dropped(monkeypatch):
     monkeypatch.setattr(bt, "STATES", 5)
     texts = [t for t in TEXTS if t and len(t) < 5000]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -75,6 +76,14 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers outlive their tasks, and one that idles holds it beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of bounded bytes: ten thousand long documents would be too many for one."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

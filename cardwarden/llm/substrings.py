@@ -8,7 +8,8 @@ runs of ``GRAM`` words, so equal windows have equal anchors. Consecutive windows
 2. Equal segments are merged, with the least document that has them. Their words are read once, from that document.
 3. Segments are dealt to shards by anchor. An anchor with more than ``HEAVY`` different segments (a common line in many
    surroundings) is split first: each window of it becomes a segment of its own, under its own hash, equal ones merged.
-4. In each shard an FM-index over the segments gives, for every window, the least document with it.
+4. In each shard the first segment of every anchor goes into a compressed FM-index, and segments of later documents are streamed through it by backward search. Where their
+   matching statistic reaches a window's length, the window has an earlier document. What no index holds goes on to a next index over the first of what is left.
 5. Documents get back the windows with an earlier document and drop the words these cover.
 
 Defined cases: NULL text has no words; a document shorter than a window loses nothing; rows with the same id are not earlier than one another, repeated rows
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import SPACES, arrow_map, row_key, slices, utf8
+from .common import SPACES, arrow_map, give_back, row_key, slices, utf8
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -177,6 +178,61 @@ def _single_windows(heavy: DataFrame, window: int) -> DataFrame:
     return arrow_map(heavy, run, "anchor long, seg long, least long, last long, at int, value long, words string")
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of many ranges, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+
+
+def least_weights(words: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, weights: np.ndarray, later: np.ndarray, window: int) -> np.ndarray:
+    """For each word of the segments the least weight among the segments that hold the window from there on, or the segment's own.
+
+    The first segment of every anchor is indexed, and what stands for later documents (``later``, and all other segments) is streamed through the index. Windows that are not found are
+    first occurrences or stand in a later segment: runs of them are segments of a next round, whose index takes four times as many of each anchor.
+    """
+    low = np.repeat(weights, sizes)
+    # Pieces: where they start, their words and the segment they are from.
+    start, long, owner, take, fresh = np.cumsum(sizes) - sizes, sizes, np.arange(len(sizes)), 1, later
+    while True:
+        order = np.lexsort((start, weights[owner], anchors[owner]))
+        start, long, owner, fresh = start[order], long[order], owner[order], fresh[order]
+        anchor = anchors[owner]
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        of_anchor = np.diff(np.append(first, len(anchor)))
+        rank = np.arange(len(anchor)) - np.repeat(first, of_anchor)
+        alone = np.repeat(of_anchor, of_anchor) == 1
+        inside = (rank < take) & (~alone | fresh)
+        # Of several in the index each may hold a window that an earlier one begins.
+        streamed = ~inside & ~alone | inside & (fresh | (take > 1))
+        if not streamed.any():
+            return low
+        # Segments of one anchor only can hold a window, so where there is one of each, its weight is the anchor's.
+        index = FMIndex(words[_spread(start[inside], long[inside])], long[inside], window, owners=take > 1)
+        at = _spread(start[streamed], long[streamed])
+        length, lo, hi = index.statistics(words[at], long[streamed])
+        hit = np.flatnonzero(length >= window)
+        if take == 1:
+            # A streamed piece's anchor has its first piece at the group's first place.
+            least = weights[owner[np.repeat(first, of_anchor)]][streamed]
+            low[at[hit]] = np.repeat(least, long[streamed])[hit]
+        else:
+            # Pieces of an anchor are in the order of their weights.
+            low[at[hit]] = weights[owner[inside]][index.least_owner(lo[hit], hi[hit])]
+        open_ = np.ones(len(at), bool)
+        open_[hit] = False
+        piece = np.repeat(np.arange(int(streamed.sum())), long[streamed])
+        ends = np.cumsum(long[streamed])
+        # Only windows that lie in the piece, and only pieces that were not indexed, go on.
+        open_ &= (np.arange(len(at)) + window <= ends[piece]) & ~inside[streamed][piece]
+        begins = open_.copy()
+        begins[1:] &= ~open_[:-1] | (piece[1:] != piece[:-1])
+        run = np.flatnonzero(begins)
+        if not len(run):
+            return low
+        n = np.add.reduceat(open_.astype(np.int64), run)
+        start, long, owner = at[run], n + window - 1, owner[streamed][piece[run]]
+        take, fresh = 4 * take, np.zeros(len(run), bool)
+
+
 def _indexed(segments: DataFrame, shards: int, window: int) -> DataFrame:
     """``lows``: for each segment the windows and the least document that has each."""
 
@@ -185,17 +241,20 @@ def _indexed(segments: DataFrame, shards: int, window: int) -> DataFrame:
         numbers: dict[bytes, int] = {}
         words = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for ws in lists for w in ws), np.int64)
         sizes = np.array([len(ws) for ws in lists], np.int64)
-        index = FMIndex(words, sizes, part.column("least").to_numpy(), window)
-        low = index.statistics()
+        del lists, numbers
+        least, last, anchors = (part.column(c).to_numpy() for c in ("least", "last", "anchor"))
+        low = least_weights(words, sizes, anchors, least, last > least, window)
         n = sizes - window + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         values = low[np.repeat(np.cumsum(sizes) - sizes, n) + at]
         pairs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(values)], ["at", "low"])
         lows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pairs)
-        return pa.table({"anchor": part.column("anchor"), "seg": part.column("seg"), "lows": lows})
+        made = pa.table({"single": part.column("single"), "anchor": part.column("anchor"), "seg": part.column("seg"), "lows": lows})
+        give_back()
+        return made
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, "anchor long, seg long, lows array<struct<at:int,low:long>>")
+    return dealt.groupBy("shard").applyInArrow(run, "single boolean, anchor long, seg long, lows array<struct<at:int,low:long>>")
 
 
 def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -209,20 +268,23 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hea
     distinct = kept.groupBy("anchor", "seg").agg(F.min(F.struct("id", "row", "start", "n")).alias("rep"), F.max("id").alias("last"))
     texts = stage(_texts(docs, distinct.withColumn("least", F.col("rep.id")), window), "words")
     often = stage(texts.groupBy("anchor").count().where(F.col("count") > heavy).select("anchor"), "heavy")
-    light = texts.join(often, "anchor", "left_anti").select("anchor", "seg", "least", "words")
-    single = stage(_single_windows(texts.join(often, "anchor", "left_semi"), window), "single")
-    merged = single.groupBy("value").agg(F.min("least").alias("least"), F.max("last").alias("last"), F.min("words").alias("words"))
-    merged = merged.where("least < last").select(F.col("value").alias("anchor"), F.lit(None).cast("long").alias("seg"), "least", "words")
+    columns = [F.lit(False).alias("single"), "anchor", "seg", "least", "last", "words"]
+    light = texts.join(often, "anchor", "left_anti").select(*columns)
+    made = _single_windows(texts.join(often, "anchor", "left_semi"), window)
+    # Two hashes of different kinds, 128 bits, stand for a window's words.
+    single = stage(made.withColumn("check", F.xxhash64("words")), "single")
+    merged = single.groupBy("value", "check").agg(F.min("least").alias("least"), F.max("last").alias("last"), F.min("words").alias("words"))
+    merged = merged.where("least < last").select(F.lit(True).alias("single"), F.col("value").alias("anchor"), F.col("check").alias("seg"), "least", "last", "words")
     segments = stage(light.unionByName(merged), "indexed")
     words = segments.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(int(words / 6 / shard_words), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lows = stage(_indexed(segments, shards, window), "lows")
     of_single = (
-        single.select("anchor", "seg", "at", "value")
-        .join(lows.where("seg is null").select(F.col("anchor").alias("value"), F.col("lows")[0]["low"].alias("low")), "value")
+        single.select("anchor", "seg", "at", "value", "check")
+        .join(lows.where("single").select(F.col("anchor").alias("value"), F.col("seg").alias("check"), F.col("lows")[0]["low"].alias("low")), ["value", "check"])
         .groupBy("anchor", "seg").agg(F.collect_list(F.struct("at", "low")).alias("lows"))
     )
-    every = lows.where("seg is not null").unionByName(of_single)
+    every = lows.where("not single").select("anchor", "seg", "lows").unionByName(of_single)
     early = F.filter("lows", lambda w: w["low"] < F.col("id"))
     starts = F.transform(early, lambda w: w["at"] + F.col("start"))
     hits = kept.join(every, ["anchor", "seg"]).select("id", "row", "start", starts.alias("starts")).where(F.size("starts") > 0)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from cardwarden.llm import substrings
-from cardwarden.llm.fm_index import FMIndex, WaveletTree
+from cardwarden.llm.fm_index import FMIndex, WaveletMatrix
 from cardwarden.llm.queries import op4_substrings
 from tests.llm.conftest import sha
 
@@ -81,29 +81,72 @@ def test_query_on_the_whole_table(spark, small):
     assert sorted(map(tuple, got), key=str) == brute([(r.doc_id, r.text) for r in small.collect()])
 
 
-def test_ranks():
+def test_extending_counts_smaller_symbols_and_occurrences():
     rng = np.random.default_rng(2)
     for alphabet in (1, 2, 16, 17, 300):
         symbols = rng.integers(0, alphabet, 777)
-        tree = WaveletTree(symbols, alphabet)
+        tree = WaveletMatrix(symbols, alphabet)
         ask, place = rng.integers(0, alphabet, 200), rng.integers(0, 778, 200)
-        assert tree.rank(ask, place).tolist() == [int((symbols[:p] == c).sum()) for c, p in zip(ask, place, strict=True)]
+        want = [int((symbols < c).sum() + (symbols[:p] == c).sum()) for c, p in zip(ask, place, strict=True)]
+        assert tree.extend(ask, place).tolist() == want
+
+
+def occurrences(lists, run):
+    return {(i, k) for i, ws in enumerate(lists) for k in range(len(ws) - len(run) + 1) if ws[k : k + len(run)] == run}
 
 
 @pytest.mark.parametrize("depth", [1, 2, 5, 6, 8])
-def test_statistics_report_the_least_weight(depth):
+@pytest.mark.parametrize("alphabet", [2, 4, 9])
+def test_matching_statistics(depth, alphabet):
     rng = np.random.default_rng(depth)
-    sizes = rng.integers(1, 40, 50)
-    words, weights = rng.integers(1, 4, sizes.sum()), rng.permutation(50)
-    low = FMIndex(words, sizes, weights, depth).statistics()
-    lists = np.split(words, np.cumsum(sizes)[:-1])
+    sizes, asked = rng.integers(1, 40, 30), rng.integers(1, 40, 30)
+    words, stream = rng.integers(1, alphabet, sizes.sum()), rng.integers(1, alphabet + 1, asked.sum())
+    index = FMIndex(words, sizes, depth, owners=True)
+    length, lo, hi = index.statistics(stream, asked)
+    lists = [ws.tolist() for ws in np.split(words, np.cumsum(sizes)[:-1])]
+    first = index.least_owner(lo, hi)
+    at = 0
+    for ws in np.split(stream, np.cumsum(asked)[:-1]):
+        for k in range(len(ws)):
+            m = next(m for m in range(min(depth, len(ws) - k), -1, -1) if m == 0 or occurrences(lists, ws[k : k + m].tolist()))
+            assert length[at] == m
+            if m:
+                found = occurrences(lists, ws[k : k + m].tolist())
+                assert hi[at] - lo[at] == len(found) and first[at] == min(i for i, _ in found)
+            at += 1
+
+
+def test_an_index_takes_less_room_than_its_words():
+    rng = np.random.default_rng(1)
+    words, sizes = rng.integers(1, 1 << 15, 80 * 3000), np.full(3000, 80)
+    assert FMIndex(words, sizes, 50).nbytes() < 4 * len(words)
+
+
+@pytest.mark.parametrize("window", [2, 5, 8])
+def test_least_weights(window):
+    rng = np.random.default_rng(window)
+    lists, anchors = [], []
+    for a in range(12):
+        core = [100 + a, *rng.integers(1, 4, window - 1).tolist()]
+        for _ in range(int(rng.integers(1, 40))):
+            lists.append([*rng.integers(1, 3, rng.integers(0, window)).tolist(), *core, *rng.integers(1, 3, rng.integers(0, window)).tolist()])
+            anchors.append(a)
+    weights = rng.permutation(len(lists)) // 2
+    sizes = np.array([len(ws) for ws in lists])
+    own = lambda ws, k: 100 <= max(ws[k : k + window]) if k + window <= len(ws) else False
     least = {}
     for w, ws in zip(weights, lists, strict=True):
-        for k in range(len(ws) - depth + 1):
-            key = tuple(ws[k : k + depth])
-            least[key] = min(least.get(key, 99), w)
-    want = [least[tuple(ws[k : k + depth])] if k + depth <= len(ws) else -1 for ws in lists for k in range(len(ws))]
-    assert low.tolist() == want
+        for k in range(len(ws) - window + 1):
+            key = tuple(ws[k : k + window])
+            least[key] = min(least.get(key, 999), w)
+    got = substrings.least_weights(np.concatenate(lists), sizes, np.array(anchors), weights, rng.random(len(lists)) < 0.5, window)
+    at = 0
+    for ws in lists:
+        for k in range(len(ws)):
+            # A window without an anchor's word may stand under several anchors, which the operator rules out.
+            if own(ws, k):
+                assert got[at] == least[tuple(ws[k : k + window])]
+            at += 1
 
 
 def test_segments_hold_every_window_once():

@@ -31,6 +31,8 @@ SEED = 42
 BLOCKS = 8
 #: Entries (a fingerprint against 64 others) compared in one vector step.
 STEP = 1 << 18
+#: Bucket entries that a task makes, about.
+ENTRIES = 1 << 21
 #: Planes between two looks for entries that are beyond the radius in every lane.
 PLANES_PER_LOOK = 8
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -145,8 +147,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(i).alias("out"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key"))
         for i, m in enumerate(masks)
     ])
+    # The rows are few bytes that grow with the number of choices; tasks by their size in the files would be too few.
+    parts = max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() * len(masks) // ENTRIES + 1)
     buckets = (
-        prints.select("fingerprint", F.explode(keys).alias("k"))
+        prints.repartition(parts, "fingerprint").select("fingerprint", F.explode(keys).alias("k"))
         .groupBy("k.out", "k.key")
         .agg(F.collect_list("fingerprint").alias("members"))
         .where(F.size("members") > 1)

@@ -86,8 +86,13 @@ def give_back() -> None:
 
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of bounded bytes: ten thousand long documents would be too many for one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def row_key(id_: str = "doc_id", text: str = "text") -> Column:

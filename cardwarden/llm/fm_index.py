@@ -11,7 +11,10 @@ import numpy as np
 
 _FAN = 64
 #: Words of a bitmap between two counts from its start; counts from there fit 16 bits.
-_FAR = 1024
+_FAR_BITS = 10
+_FAR = 1 << _FAR_BITS
+_ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BELOW = _ONE - np.uint64(1)
 _COLUMNS = np.arange(_FAN)
 
 
@@ -39,11 +42,27 @@ class WaveletMatrix:
     def _descend(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
         for bit, words, far, near, zeros in self.levels:
             cell = place >> 6
-            below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = far[cell // _FAR] + near[cell] + np.bitwise_count(words[cell] & below).astype(np.int64)
-            place = np.where(symbols >> bit & 1, zeros + ones, place - ones)
+            ones = far[cell >> _FAR_BITS] + near[cell] + np.bitwise_count(words[cell] & _BELOW[place & 63])
+            place = np.where(symbols & (1 << bit), zeros + ones, place - ones)
         return place
 
+    def follow(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For intervals of one suffix: whether the symbol before it is the given one, and if so the place of the suffix that it begins."""
+        left, out, good = np.arange(len(place)), np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        symbols_left = symbols
+        for bit, words, far, near, zeros in self.levels:
+            cell, within = place >> 6, place & 63
+            word = words[cell]
+            set_ = (word & _ONE[within]) != 0
+            want = (symbols_left & (1 << bit)) != 0
+            ones = far[cell >> _FAR_BITS] + near[cell] + np.bitwise_count(word & _BELOW[within])
+            place = np.where(want, zeros + ones, place - ones)
+            same = set_ == want
+            if not same.all():
+                left, place, symbols_left = left[same], place[same], symbols_left[same]
+        out[left], good[left] = place + self.shift[symbols_left], True
+        return good, out
+
     def extend(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Bounds of suffixes become bounds of those with the symbol before them: all smaller symbols, and the occurrences before the place."""
         return self._descend(symbols, place) + self.shift[symbols]
@@ -105,7 +124,7 @@ class FMIndex:
     def _smaller(self, place: np.ndarray, limit: np.ndarray, left: bool, level: int = 0) -> np.ndarray:
         """The next place, itself included, to the left or right whose common length is below the limit; the ends have 0."""
         rows = self.common[level]
-        group, column = place // _FAN, place % _FAN
+        group, column = place >> 6, place & 63
         out = place.copy()
         off = np.flatnonzero(rows[group, column] >= limit)
         if not len(off):
@@ -127,6 +146,19 @@ class FMIndex:
         lo, hi = self._smaller(lo, limit, True), self._smaller(hi, limit, False)
         return np.where(root, 0, lo), np.where(root, self.n, hi)
 
+    def _extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of the matches with one more word before them, and which are not empty. Most hold one suffix, which takes one rank."""
+        one = hi - lo == 1
+        a, b, good = np.empty_like(lo), np.empty_like(hi), np.empty(len(lo), bool)
+        single, several = np.flatnonzero(one), np.flatnonzero(~one)
+        good[single], a[single] = self.tree.follow(symbols[single], lo[single])
+        b[single] = a[single] + 1
+        signs = symbols[several]
+        new = self.tree.extend(np.concatenate([signs, signs]), np.concatenate([lo[several], hi[several]]))
+        a[several], b[several] = new[: len(several)], new[len(several) :]
+        good[several] = a[several] < b[several]
+        return a, b, good
+
     def statistics(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of segments streamed from their ends, one word a step, all side by side.
 
@@ -151,9 +183,7 @@ class FMIndex:
             left = np.flatnonzero(~unknown)
             while len(left):
                 signs = symbol[left]
-                new = self.tree.extend(np.concatenate([signs, signs]), np.concatenate([lo[left], hi[left]]))
-                a, b = new[: len(left)], new[len(left) :]
-                good = a < b
+                a, b, good = self._extend(signs, lo[left], hi[left])
                 done = left[good]
                 grown = np.minimum(length[done] + 1, self.depth)
                 a, b = a[good], b[good]

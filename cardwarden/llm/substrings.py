@@ -187,7 +187,7 @@ def least_weights(words: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, wei
     """For each word of the segments the least weight among the segments that hold the window from there on, or the segment's own.
 
     The first segment of every anchor is indexed, and what stands for later documents (``later``, and all other segments) is streamed through the index. Windows that are not found are
-    first occurrences or stand in a later segment: runs of them are segments of a next round, whose index takes four times as many of each anchor.
+    first occurrences or stand in a later segment: runs of them are segments of a next round, whose index takes sixteen times as many of each anchor.
     """
     low = np.repeat(weights, sizes)
     # Pieces: where they start, their words and the segment they are from.
@@ -230,7 +230,7 @@ def least_weights(words: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, wei
             return low
         n = np.add.reduceat(open_.astype(np.int64), run)
         start, long, owner = at[run], n + window - 1, owner[streamed][piece[run]]
-        take, fresh = 4 * take, np.zeros(len(run), bool)
+        take, fresh = 16 * take, np.zeros(len(run), bool)
 
 
 def _indexed(segments: DataFrame, shards: int, window: int) -> DataFrame:

@@ -1,93 +1,29 @@
 """One answer for each transaction on a stream: its first verdict in time, or the timeout reply.
 
-A join gives a row for every verdict that fits. Here a keyed operator with event-time timers keeps, for each transaction number and time slot, what waits and what has
-come, and answers each transaction once, when the watermark has passed its deadline; until then an earlier verdict may come. A verdict is kept as long as a
-transaction it answers may still come. So state follows the rows of the last deadline and delay, not the length of the stream.
+A join gives a row for every verdict that fits. Here the transactions and verdicts of a number and time slot are gathered, and each transaction is answered once, when the
+watermark has passed the last deadline of its slot; until then an earlier verdict may come. Slots are one deadline long, so an answer waits for at most one deadline more.
+State follows the rows of the last deadlines and delay, not the length of the stream.
 
-A verdict that answers transactions of two slots is sent to both, as in the batch operator: one number over all time is not one state. Equal transactions are
-counted, and all answered. Transactions without number or time can have no verdict and are answered at once, without state.
+A verdict that answers transactions of two slots is in both, as in the batch operator: one number over all time is not one state. Copies of a verdict are kept once;
+equal transactions are all answered. Transactions without number or time can have no verdict and are answered at once, without state.
+The state is that of a plain aggregation, so any state store will do.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.verdicts import DEADLINE_SECONDS, answered_slots, asked_slot, timeout_reply
-
-#: How rows wait in the state: as text, with all digits of a time.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
-_IN = ["_time", "_key", "_slot", "_at", "_asked", "_row", "_verdict"]
-_OUT = T.StructType([T.StructField("_row", T.StringType()), T.StructField("_answered_at", T.LongType()), T.StructField("_verdict", T.StringType())])
-
-
-class FirstVerdict(StatefulProcessor):
-    """The state of one number and slot: how often each row waits, by its time, and the least verdict of each moment."""
-
-    def __init__(self, seconds: int):
-        self.wait = seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        at, text = T.StructField("at", T.LongType()), T.StringType()
-        self.waiting = handle.getMapState("waiting", T.StructType([at, T.StructField("row", text)]), T.StructType([T.StructField("copies", T.LongType())]))
-        self.verdicts = handle.getMapState("verdicts", T.StructType([at]), T.StructType([T.StructField("verdict", text)]))
-        self.done: tuple | None = None
-
-    def _add(self, state, key: tuple, value, combine) -> None:
-        if state.containsKey(key):
-            value = combine(value, state.getValue(key)[0])
-        state.updateValue(key, (value,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        due = set()
-        for frame in rows:
-            # The frames come without the names of their columns.
-            frame = frame.set_axis(_IN, axis=1)
-            asked = frame["_asked"].to_numpy(bool)
-            for (at, row), copies in frame[asked].groupby(["_at", "_row"], sort=False).size().items():
-                self._add(self.waiting, (int(at), row), int(copies), lambda a, b: a + b)
-                due.add(int(at) + self.wait)
-            for at, verdict in frame[~asked].groupby("_at", sort=False)["_verdict"].min().items():
-                self._add(self.verdicts, (int(at),), verdict, min)
-                due.add(int(at) + self.wait)
-        # A timer a second at most, after the deadline and after the watermark.
-        mark = timerValues.getCurrentWatermarkInMs()
-        for second in {max(at // 1000, mark) // 1000 for at in due}:
-            self.handle.registerTimer(second * 1000 + 1000)
-        yield from ()
+from ..operators.verdicts import DEADLINE_SECONDS, timeout_reply
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        # All that is due is answered at the first of a batch's timers.
-        if self.done == (key, mark):
-            return
-        self.done = key, mark
-        verdicts = sorted((k[0], v[0]) for k, v in self.verdicts.iterator())
-        moments = [at for at, _ in verdicts]
-        answers = []
-        for (at, row), (copies,) in list(self.waiting.iterator()):
-            if at + self.wait >= mark:
-                continue
-            nth = bisect_left(moments, at)
-            hit = verdicts[nth] if nth < len(verdicts) and moments[nth] <= at + self.wait else (None, None)
-            answers += [(row, *hit)] * copies
-            self.waiting.removeKey((at, row))
-        for at in moments:
-            # Until then a transaction that it answers may wait or come.
-            if at + self.wait < mark:
-                self.verdicts.removeKey((at,))
-        if answers:
-            yield pd.DataFrame(answers, columns=_OUT.names).astype({"_answered_at": "Int64"})
 
-    def close(self) -> None:
-        pass
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _first_from(asked: pd.Series, moments: pd.Series) -> pd.Series:
+    """For each time asked for, the place of the first of the sorted moments at or after it."""
+    return pd.Series([np.searchsorted(m, a).astype("int32") for a, m in zip(asked, moments, strict=True)], dtype=object)
 
 
 def first_verdict_stream(
@@ -103,24 +39,28 @@ def first_verdict_stream(
     ``delay`` bounds how late rows of either stream may be; the slower of the two decides. The rows are those of ``verdict_within``, however often verdicts repeat.
     """
     txn = txn.withColumn(ts, F.col(ts).cast("timestamp"))
-    micros = lambda c: F.unix_micros(F.col(c))
     named = F.col(key).isNotNull() & F.col(ts).isNotNull()
     asked = txn.where(named).select(
-        F.col(ts).alias("_time"), F.col(key).cast("string").alias("_key"), asked_slot(ts, seconds).alias("_slot"), micros(ts).alias("_at"), F.lit(True).alias("_asked"),
-        F.to_json(F.struct(*txn.columns), _JSON).alias("_row"), F.lit(None).cast("string").alias("_verdict"),
+        F.col(ts).alias("_time"), F.col(key).cast("string").alias("_key"), F.struct(*txn.columns).alias("_row"),
+        F.lit(None).cast("struct<status_ts: timestamp, txn_status: string>").alias("_verdict"),
     )
     status = status.where("txn_num is not null and status_ts is not null").withColumn("status_ts", F.col("status_ts").cast("timestamp"))
     answered = status.select(
-        F.col("status_ts").alias("_time"), F.col("txn_num").cast("string").alias("_key"), F.explode(answered_slots("status_ts", seconds)).alias("_slot"),
-        micros("status_ts").alias("_at"), F.lit(False).alias("_asked"), F.lit(None).cast("string").alias("_row"),
-        # No text is less than any.
-        F.coalesce(F.concat(F.lit("+"), "txn_status"), F.lit("")).alias("_verdict"),
+        F.col("status_ts").alias("_time"), F.col("txn_num").cast("string").alias("_key"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"),
+        F.struct("status_ts", F.col("txn_status").cast("string").alias("txn_status")).alias("_verdict"),
     )
     both = asked.withWatermark("_time", delay).unionByName(answered.withWatermark("_time", delay))
-    answers = both.groupBy("_key", "_slot").transformWithStateInPandas(FirstVerdict(seconds), _OUT, "Append", "EventTime")
-    rows = answers.select(F.from_json("_row", txn.schema, _JSON).alias("row"), "_answered_at", "_verdict").select(
-        "row.*", F.timestamp_micros("_answered_at").alias("status_ts"), F.when(F.col("_verdict") != "", F.substring("_verdict", 2, 1 << 30)).alias("txn_status"),
-        *timeout_reply(F.col("_answered_at").isNotNull()),
+    wait = F.expr(f"interval {seconds} seconds")
+    # A slot, and the deadline after it, in which verdicts may still answer its transactions.
+    both = both.withColumn("_slot", F.window("_time", f"{2 * seconds} seconds", f"{seconds} seconds"))
+    both = both.where(F.col("_row").isNull() | (F.col("_time") < F.col("_slot.start") + wait))
+    slots = both.groupBy("_key", "_slot").agg(F.collect_list("_row").alias("_rows"), F.sort_array(F.collect_set("_verdict")).alias("_verdicts")).where(F.size("_rows") > 0)
+    micros = lambda c: lambda e: F.unix_micros(e[c])
+    slots = slots.withColumn("_nth", _first_from(F.transform("_rows", micros(ts)), F.transform("_verdicts", micros("status_ts"))))
+    pairs = F.zip_with("_rows", "_nth", lambda row, nth: F.struct(row.alias("row"), F.get("_verdicts", nth).alias("hit")))
+    in_time = F.coalesce(F.col("pair.hit.status_ts") <= F.col(f"pair.row.`{ts}`") + wait, F.lit(False))
+    rows = slots.select(F.explode(pairs).alias("pair")).select(
+        "pair.row.*", F.when(in_time, F.col("pair.hit.status_ts")).alias("status_ts"), F.when(in_time, F.col("pair.hit.txn_status")).alias("txn_status"), *timeout_reply(in_time)
     )
     never = txn.where(~named).select(
         "*", F.lit(None).cast("timestamp").alias("status_ts"), F.lit(None).cast("string").alias("txn_status"), *timeout_reply(F.lit(False))

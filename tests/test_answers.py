@@ -91,3 +91,11 @@ def test_times_keep_their_digits(spark, tmp_path):
     got, _ = run(spark, tmp_path, [(txn, [("a", dt.datetime(2024, 1, 1, 0, 0, 1, 654321), "x")]), closing(900)])
     row = got.where(F.col("tag") == 1).first()
     assert row["ts"].microsecond == 123456 and row["status_ts"].microsecond == 654321
+
+
+def test_any_state_store_will_do(spark, tmp_path):
+    txn, status = [("a", at(5), 1, 0.1), ("b", at(5), 2, 0.2)], [("a", at(9), "REJECTED"), ("a", at(7), "AUTHORIZED")]
+    store = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=store):
+        got, _ = run(spark, tmp_path, [(txn, status), closing(1000)])
+    assert {r["tag"]: r["txn_status"] for r in got.where("tag > 0").collect()} == {1: "AUTHORIZED", 2: None}

@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MODEL_FEATURES
-from ..session import parts_of, stage
+from ..session import stage
 
 # Share of training rows in percent, seed and number of trees.
 TRAIN_PERCENT = 80
 SEED = 42
 TREES = 100
 
+#: Rows of one training part, about: some 15 MB as MLlib keeps them.
+PART_ROWS = 100_000
+
 #: Stands for a missing feature: NULL, NaN and infinities go below every real value, so that the
 #: trees can tell them apart.
 MISSING = "1e30D"
@@ -50,13 +53,14 @@ def train(
     features: Sequence[str] = MODEL_FEATURES,
     label: str = "is_fraud",
     trees: int = TREES,
+    part_rows: int = PART_ROWS,
     **params,
 ) -> PipelineModel:
     """Fit boosted trees on the named columns.
 
     The training rows are written once, as every tree level passes over them again, and dealt by
-    their values to as many sorted parts as their bytes ask for; so the fitted trees do not depend
-    on how ``df`` was partitioned. MLlib cuts the growing lineage of the boosting rounds by
+    their values to as many sorted parts as their number asks for; so the fitted trees do not depend
+    on how ``df`` was partitioned, and what a task passes over does not grow. MLlib cuts the growing lineage of the boosting rounds by
     checkpoints in the session's ``spark.checkpoint.dir``.
     """
     present = ", ".join(
@@ -74,9 +78,13 @@ def train(
         *features, F.col(label).cast("double").alias("_label")
     )
     labelled = stage(labelled, "labelled")
-    columns = labelled.columns
-    labelled = labelled.repartition(parts_of(labelled), *columns).sortWithinPartitions(*columns)
-    return Pipeline(stages=[fill, assembler, trees_stage]).fit(labelled)
+    return Pipeline(stages=[fill, assembler, trees_stage]).fit(dealt(labelled, part_rows))
+
+
+def dealt(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """The rows of a stored table by their values, in sorted parts of about ``part_rows``."""
+    parts = max(1, -(-df.count() // part_rows))
+    return df.repartition(parts, *df.columns).sortWithinPartitions(*df.columns)
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "score") -> DataFrame:

@@ -181,3 +181,14 @@ def test_a_promotion_takes_effect_at_the_next_batch(spark, raw_rows, tmp_path):
     start()(raw_rows.where("trans_num = 'd'"), 2)
     start()(raw_rows.where("trans_num = 'd'"), 2)
     assert verdicts()["d"] == ("AUTHORIZED", "new") and len(asked) == 2
+
+
+def test_training_parts_follow_the_rows(data):
+    parts = model.dealt(data, 300).rdd.glom().collect()
+    assert len(parts) == 5 and max(map(len, parts)) < 450 and sorted(r["_id"] for p in parts for r in p) == sorted(r["_id"] for r in data.collect())
+    assert model.dealt(data).rdd.getNumPartitions() == 1
+
+
+def test_a_fit_over_many_parts(data):
+    scored = model.score(data, model.train(data, FEATURES, trees=5, part_rows=200))
+    assert auc(scored, "is_fraud", "score").first()["auc"] > 0.9

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cardwarden.operators.joins import lookup_join
+from cardwarden.operators.joins import lookup_join, spread_join
 from cardwarden.session import settings, stage
 
 random.seed(3)
@@ -67,3 +67,15 @@ def test_two_column_keys(spark):
     joined = lookup_join(left, right, ["a", "b"], "left")
     assert joined.count() == 600
     assert joined.where("v = 'x'").count() == 100 and joined.where("v is null").count() == 400
+
+
+def test_a_result_larger_than_its_tables_is_dealt_by_its_rows(spark):
+    """1,500 x 40 rows of one key, single rows, missing and null keys: as a plain left join, in many parts."""
+    left = spark.range(2000).selectExpr("case when id < 1500 then 'hot' when id < 1900 then concat('k', id % 50) end as k", "id", "id % 7 as more")
+    right = spark.range(80).selectExpr("case when id < 40 then 'hot' when id < 75 then concat('k', id % 30) end as k", "id as limit")
+    got = spread_join(left, right, "k", pair_rows=5000)
+    want = left.join(right, "k", "left").select(*got.columns)
+    assert got.columns == ["k", "id", "more", "limit"] and want.count() > 60_000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = [len(p) for p in got.select("id").rdd.glom().collect()]
+    assert len(sizes) > 12 and max(sizes) < 25_000, sizes

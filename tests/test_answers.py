@@ -99,3 +99,13 @@ def test_any_state_store_will_do(spark, tmp_path):
     with settings(spark, spark__sql__streaming__stateStore__providerClass=store):
         got, _ = run(spark, tmp_path, [(txn, status), closing(1000)])
     assert {r["tag"]: r["txn_status"] for r in got.where("tag > 0").collect()} == {1: "AUTHORIZED", 2: None}
+
+
+def test_the_query_keeps_rows_without_a_time(spark, tmp_path):
+    from cardwarden.plans.queries import QUERIES
+
+    rows = [(i, None if i == 3 else at(i * 100), 1, "view", 300.0, None) for i in range(1, 8)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["trans_num"]: (r["txn_status"], r["reason"]) for r in QUERIES["verdict_first_stream"](spark, str(tmp_path)).collect()}
+    assert len(got) == 7 and got["3"] == (None, "timeout") and got["5"] == (None, "timeout") and got["4"][0] == "REJECTED"

@@ -1,0 +1,49 @@
+import datetime as dt
+from collections import Counter
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from cardwarden.plans import inputs, queries
+from cardwarden.streaming import time_slices
+
+T0 = dt.datetime(2024, 1, 1)
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def test_slices_hold_every_row_once_in_the_order_of_time(spark):
+    """Rows without a time come first, and a moment with too many rows is cut."""
+    rows = [(i, T0 + dt.timedelta(seconds=i * 37 % 101)) for i in range(300)]
+    rows += [(i, T0 + dt.timedelta(seconds=200)) for i in range(300, 500)] + [(1, None), (None, T0), (2, T0), (2, T0)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz").repartition(3)
+    got = [[tuple(r) for r in s.collect()] for s in time_slices(df, len(rows), slice_rows=60)]
+    assert Counter(r for s in got for r in s) == Counter(rows)
+    assert len(got) == 9 and max(map(len, got)) < 150
+    times = [[t or dt.datetime.min for _, t in s] for s in got if s]
+    assert all(max(a) <= min(b) for a, b in zip(times, times[1:], strict=False))
+    assert [list(s.collect()) for s in time_slices(df.where("false"), 0)] == [[]]
+
+
+def test_deadline_stream_keeps_a_slice_as_state_not_the_table(spark, tmp_path, monkeypatch):
+    """Files in any order of time, numbers that come again, two rows of one moment."""
+    rows = [(i * 7 % 90 + 1, T0 + dt.timedelta(minutes=37 * (i * 11 % 400))) for i in range(400)]
+    rows += [(5, T0 + dt.timedelta(seconds=s)) for s in (3, 3, 30, 90)]
+    events = [(k, t, 1, "view", float(k * 5), None) for k, t in rows]
+    spark.createDataFrame(events, EVENTS).repartition(3, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    started, plain = [], queries.append_stream
+
+    def watched(*args, **options):
+        started.append(plain(*args, **options))
+        return started[-1]
+
+    monkeypatch.setattr(queries, "append_stream", watched)
+    monkeypatch.setattr(queries, "time_slices", partial(time_slices, slice_rows=120))
+    got = queries.QUERIES["verdict_within_60s_stream"](spark, str(tmp_path))
+
+    table = inputs.table(spark, str(tmp_path), "events")
+    status = inputs.txn_status(table)
+    fits = (F.col("txn_num") == F.col("trans_num")) & F.col("status_ts").between(F.col("ts"), F.col("ts") + F.expr("interval 60 seconds"))
+    want = inputs.txn_times(table).join(status, fits, "left").select("trans_num", "ts", "status_ts", "txn_status", F.when(F.col("txn_num").isNull(), "Failed").alias("status"))
+    assert Counter(map(tuple, got.drop("reason").collect())) == Counter(map(tuple, want.collect()))
+    kept = [op["numRowsTotal"] for s in started for p in s.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(kept) < 300  # all transactions and verdicts are over 700

@@ -79,3 +79,34 @@ def test_a_result_larger_than_its_tables_is_dealt_by_its_rows(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     sizes = [len(p) for p in got.select("id").rdd.glom().collect()]
     assert len(sizes) > 12 and max(sizes) < 25_000, sizes
+
+
+def test_pairs_of_few_left_rows_and_of_equal_rows_are_dealt_too(spark):
+    """3 x 20,000 pairs of one key and 400 equal rows x 50 of another: by the left rows' values all pairs of a row, or of equal rows, were one task's."""
+    left = spark.range(403).selectExpr("if(id < 3, 'wide', 'equal') as k", "if(id < 3, id, 0) as id")
+    right = spark.range(20050).selectExpr("if(id < 20000, 'wide', 'equal') as k", "id % 5 as limit")
+    got = spread_join(left, right, "k", pair_rows=5000)
+    sizes = [len(p) for p in got.select("id").rdd.glom().collect()]
+    assert sum(sizes) == 80_000 and max(sizes) < 20_000, sizes
+
+
+@pytest.mark.parametrize("pair_rows", [1, 4, 50, 1000])
+def test_blocks_and_shares_change_no_row(spark, pair_rows):
+    """Blocks of one right row and more, some left empty; keys on one side only, null keys, null limits and rows that come twice."""
+    left = spark.createDataFrame([(k, i // 2) for i, k in enumerate(["a"] * 12 + ["b"] + ["c"] * 3 + ["left only"] * 9 + [None] * 7)], "k string, id int")
+    rows = [("a", 1.0)] * 3 + [("a", None)] * 2 + [("b", float(i % 3)) for i in range(31)] + [("c", 2.0), ("right only", 3.0), (None, 4.0), (None, 4.0)] + [("right only", 5.0)] * 20
+    right = spark.createDataFrame(rows, "k string, limit double")
+    got = spread_join(left, right, "k", pair_rows=pair_rows)
+    assert got.dtypes == [("k", "string"), ("id", "int"), ("limit", "double")]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, left.join(right, "k", "left").collect()))
+
+
+def test_what_is_moved_grows_with_the_root_of_the_pairs_of_a_task(spark):
+    """400 x 200 pairs in tasks of 1,000: 400 rows for each of 7 blocks and 7 blocks for each of 12 shares, not 200 rows for each of 80."""
+    left, right = (spark.range(n).selectExpr("1 as k", f"id as {c}") for n, c in ((400, "id"), (200, "limit")))
+    got = spread_join(left, right, "k", pair_rows=1000)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        assert Counter(r["id"] for r in got.collect()) == Counter({i: 200 for i in range(400)})
+    stages = got._jdf.queryExecution().executedPlan().executedPlan().plan().collectLeaves()
+    moved = [stages.apply(i).shuffle().metrics().apply("shuffleRecordsWritten").value() for i in range(stages.size())]
+    assert sorted(moved) == [84, 2800]
